@@ -11,13 +11,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from sieveworks.session import ship
+
 #: Rows and bytes of one Arrow batch; a batch is the unit of work of every vectorised worker.
 BATCH_ROWS = 4000
 BATCH_BYTES = 16 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds the Arrow batches, so a run of very long texts cannot fill a worker."""
+    """Ships the package to the workers and bounds the Arrow batches, so a run of very long texts cannot fill a worker."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveworks.llm import decontaminate
+from sieveworks.llm import byte_bpe, decontaminate
 from sieveworks.llm.common import table
 
 
@@ -14,8 +14,16 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as vocabularies
+
+    path = vocabularies.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.report(table(spark, sf_dir, "documents"), path, vocabularies.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op7_byte_bpe": op7_byte_bpe,
 }
 
 SQL: dict[str, str] = {}
