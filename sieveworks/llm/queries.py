@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveworks.llm import byte_bpe, decontaminate
+from sieveworks.llm import byte_bpe, decontaminate, line_dedup, token_counts
 from sieveworks.llm.common import table
 
 
@@ -14,6 +14,16 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as vocabularies
+
+    return token_counts.count(table(spark, sf_dir, "documents"), vocabularies.path("word_bpe_49k.json"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocabularies
 
@@ -23,7 +33,55 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op5_token_counts": op5_token_counts,
+    "op6_line_dedup": op6_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
 }
 
-SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+SQL: dict[str, str] = {
+    "op1_decontamination": f"""
+        WITH d AS (
+          SELECT row_number() OVER () AS row_id, doc_id,
+                 regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+          FROM documents
+        ), b AS (
+          SELECT item_id, least(10, len(w)) AS k, w FROM (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+            FROM benchmark) WHERE len(w) > 0
+        ), item_windows AS (
+          SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS s
+          FROM (SELECT item_id, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM b)
+        ), doc_windows AS (
+          SELECT row_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS s
+          FROM (SELECT row_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM b) WHERE len(w) >= k)
+        ), found AS (
+          SELECT row_id, i, k, item_id FROM doc_windows JOIN item_windows USING (k, s)
+        ), hit AS (
+          SELECT row_id, count(*) AS n_hit
+          FROM (SELECT DISTINCT row_id, unnest(range(i, i + k)) AS pos FROM found) GROUP BY row_id
+        ), items AS (
+          SELECT row_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS joined
+          FROM (SELECT DISTINCT row_id, item_id::VARCHAR AS item FROM found) GROUP BY row_id
+        )
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit USING (row_id) LEFT JOIN items USING (row_id)""",
+    "op6_line_dedup": f"""
+        WITH docs AS (
+          SELECT row_number() OVER () AS row_id, doc_id, str_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+        ), lines AS (
+          SELECT row_id, doc_id, unnest(range(1, len(parts) + 1)) AS pos, unnest(parts) AS line FROM docs
+        ), keyed AS (
+          SELECT *, translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), '{_UPPER}', '{_LOWER}') AS key FROM lines
+        ), shared AS (
+          SELECT key, min(doc_id) AS keep_doc FROM keyed WHERE length(key) >= 10
+          GROUP BY key HAVING count(DISTINCT doc_id) >= 2
+        ), judged AS (
+          SELECT k.*, keep_doc IS NOT NULL AND keep_doc <> doc_id AS gone FROM keyed k LEFT JOIN shared USING (key)
+        )
+        SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM judged GROUP BY row_id""",
+}
