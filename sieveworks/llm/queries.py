@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveworks.llm import byte_bpe, decontaminate, line_dedup, token_counts
+from sieveworks.llm import byte_bpe, decontaminate, line_dedup, pii, token_counts
 from sieveworks.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocabularies
 
@@ -33,6 +37,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op3_pii": op3_pii,
     "op5_token_counts": op5_token_counts,
     "op6_line_dedup": op6_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
