@@ -1,18 +1,15 @@
-"""Byte-level BPE: Spark higher-order functions fold ranked merges over the bytes of distinct words.
+"""Byte-level BPE: ranked merges folded over the byte arrays of distinct words, with a literal rank map.
 
-Three steps without a shuffle, so a lost executor costs only its own blocks:
+Texts are cut into words; each worker folds merges over the words it has not met
+yet, all at once: the words of one length are the rows of a matrix of ids, and a
+round merges in every row the leftmost pair of least rank, until no row has one.
+Words over ``LONG`` bytes use a heap instead, to the same ids. Decoding looks up
+the piece of each id and concatenates. Nothing is shuffled, so a lost executor
+costs only its own batches; a worker's table of words is bounded.
 
-1. Each task cuts its texts into words and lists the distinct ones of a block of
-   ``BLOCK_BYTES`` of text, with the word index of every occurrence.
-2. Higher-order functions encode each distinct word once. The rank map is a
-   literal: an array of small buckets, one of which a hash of the pair picks,
-   because a map lookup in Spark scans its keys. ``aggregate`` merges the pair of
-   least rank until no pair has one. Decoding looks pieces up by id and
-   concatenates them.
-3. The ids and the decoded bytes of the occurrences are strung together again.
-
-Bytes travel as characters U+0000-U+00FF. Words over ``LONG`` bytes (the fold is
-quadratic) are merged with a heap instead, to the same ids.
+:func:`with_codes` is the same fold in Spark's higher-order functions over a
+column of words. It gives the same ids but takes some 35 microseconds a distinct
+word in interpreted lambdas, so documents are not encoded with it (see README).
 
 Defined results: null or empty text has no ids and decodes to nothing; repeated
 rows are each encoded; a null ``doc_id`` stays null.
@@ -23,6 +20,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +30,12 @@ from pyspark.sql import functions as F
 
 from sieveworks.llm.common import prepare, sha_hex, texts_of
 
-BLOCK_BYTES = 32 << 20
+#: Words a worker's table holds before it starts anew.
+KEPT = 1_000_000
 LONG = 256
 BUCKETS = 1 << 16
 SPREAD = 40503
+NONE = 2**62
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -122,7 +122,7 @@ def encode_expr() -> str:
 
 
 def with_codes(blocks: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """``blocks`` with ``codes``, the ids of each word, and ``decoded``, the bytes that these ids stand for."""
+    """``blocks`` (words array<string>, bytes as characters U+0000-U+00FF) with the ids of each word and their decoded bytes."""
     merges, pairs, singles, pieces = merge_literals(ranks)
     return (
         blocks.withColumn("merges", F.from_json(F.lit(merges), "array<struct<k:array<bigint>,i:array<int>>>"))
@@ -136,107 +136,174 @@ def with_codes(blocks: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     )
 
 
-BLOCK = "docs binary, known binary, counts binary, words array<string>, long_words array<string>, occurrences binary"
-CODED = "doc_id long, n_tokens long, ids binary, decoded binary, ids_sha256 string, decoded_sha256 string"
-
-
-def _packed(x: list | np.ndarray, kind: type) -> bytes:
-    return np.asarray(x, kind).tobytes()
-
-
-def blocks(docs: DataFrame, pattern: str) -> DataFrame:
-    """Rows of up to ``BLOCK_BYTES`` of text: distinct words, and for each document its count of words and their indices."""
-    schema = pa.schema([("docs", pa.binary()), ("known", pa.binary()), ("counts", pa.binary()), ("words", pa.list_(pa.string())), ("long_words", pa.list_(pa.string())), ("occurrences", pa.binary())])
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Merges:
+    """Ranks of pairs of ids, in an open hash table that whole arrays look up at once."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+        self.singles = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.pieces = [b""] * (max(ranks.values()) + 1)
+        keys, values = [], []
+        for piece, rank in ranks.items():
+            self.pieces[rank] = piece
+            for cut in range(1, len(piece)):
+                left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+                if left is not None and right is not None:
+                    keys.append((left << 32) | right)
+                    values.append(rank)
+        self.bits = int(np.ceil(np.log2(8 * len(keys) + 16)))
+        self.key = np.full(1 << self.bits, -1, np.int64)
+        self.value = np.full(1 << self.bits, NONE, np.int64)
+        key, value = np.array(keys, np.int64), np.array(values, np.int64)
+        at, self.probes = self._slot(key), 0
+        while len(key):
+            _, one = np.unique(at, return_index=True)
+            won = one[self.key[at[one]] == -1]
+            self.key[at[won]], self.value[at[won]] = key[won], value[won]
+            rest = np.ones(len(key), bool)
+            rest[won] = False
+            key, value, at = key[rest], value[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
+            self.probes += 1
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank (and id) of the merge of each pair, ``NONE`` where they do not merge."""
+        shape = left.shape
+        key = ((left << np.int64(32)) | right).ravel()
+        at = self._slot(key)
+        out = np.where(self.key[at] == key, self.value[at], NONE)
+        miss = np.flatnonzero((self.key[at] != key) & (self.key[at] != -1))
+        for _ in range(self.probes - 1):
+            if not len(miss):
+                break
+            at[miss] = (at[miss] + 1) & ((1 << self.bits) - 1)
+            seen = self.key[at[miss]]
+            good = miss[seen == key[miss]]
+            out[good] = self.value[at[good]]
+            miss = miss[(seen != key[miss]) & (seen != -1)]
+        return out.reshape(shape)
+
+    def fold(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of each word."""
+        out: list = [None] * len(words)
+        by_length: dict[int, list[int]] = {}
+        for i, word in enumerate(words):
+            by_length.setdefault(len(word), []).append(i)
+        for length, where in by_length.items():
+            if length > LONG:
+                for i in where:
+                    out[i] = np.array(merge_long(words[i], self.ranks), np.int64)
+                continue
+            for begin in range(0, len(where), max(1, (1 << 20) // length)):
+                self._rows(words, np.array(where[begin : begin + max(1, (1 << 20) // length)]), length, out)
+        return out
+
+    def _rows(self, words: list[bytes], where: np.ndarray, length: int, out: list) -> None:
+        raw = np.frombuffer(b"".join(words[i] for i in where.tolist()), np.uint8)
+        ids = self.singles[raw].reshape(-1, length)
+        rank = self.rank(ids[:, :-1], ids[:, 1:]) if length > 1 else np.full((len(ids), 0), NONE)
+        while True:
+            n = ids.shape[1]
+            at = rank.argmin(1) if n > 1 else np.zeros(len(ids), np.int64)
+            merged = rank[np.arange(len(ids)), at] if n > 1 else np.full(len(ids), NONE)
+            done = merged == NONE
+            for i, row in zip(where[done].tolist(), ids[done], strict=True):
+                out[i] = row
+            if done.all():
+                return
+            go = ~done
+            where, ids, rank, at, merged = where[go], ids[go], rank[go], at[go], merged[go]
+            row, col = np.arange(len(ids)), np.arange(n - 1)
+            ids = np.take_along_axis(ids, col + (col > at[:, None]), 1)
+            ids[row, at] = merged
+            # ranks: the merged pair's goes, those beside it are looked up again
+            rank = np.take_along_axis(rank, col[:-1] + (col[:-1] >= at[:, None]), 1)
+            has = np.flatnonzero(at > 0)
+            rank[has, at[has] - 1] = self.rank(ids[has, at[has] - 1], merged[has])
+            has = np.flatnonzero(at < n - 2)
+            rank[has, at[has]] = self.rank(merged[has], ids[has, at[has] + 1])
+
+
+class WordCodes(dict):
+    """Word -> slot; a slot's ids lie in ``flat`` from ``begin`` on. Chunks between single spaces are slots' lists."""
+
+    def __init__(self, merges: Merges, pattern: str) -> None:
         import regex
 
-        find = regex.compile(pattern).findall
-
-        class Index(dict):
-            def __missing__(self, word: str) -> int:
-                self[word] = at = len(self)
-                return at
-
-        def fresh() -> tuple:
-            return [], [], [], Index(), [], 0
-
-        def row() -> pa.RecordBatch:
-            raw = [w.encode() for w in index]
-            # long words come last, so that the fold sees only the others
-            order = sorted(range(len(raw)), key=lambda i: len(raw[i]) > LONG)
-            place = np.empty(len(raw), np.int32)
-            place[order] = np.arange(len(raw), dtype=np.int32)
-            chars = [raw[i].decode("latin-1") for i in order]
-            short = sum(len(w) <= LONG for w in raw)
-            at = np.concatenate(found) if found else np.zeros(0, np.int32)
-            return pa.RecordBatch.from_pydict({"docs": [_packed([x or 0 for x in ids], np.int64)], "known": [_packed([x is not None for x in ids], np.bool_)], "counts": [_packed(counts, np.int64)], "words": [chars[:short]], "long_words": [chars[short:]], "occurrences": [place[at].tobytes()]}, schema)
-
-        ids, counts, found, index, _, size = fresh()
-        for batch in rows:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
-                words = find(text.decode())
-                ids.append(doc)
-                counts.append(len(words))
-                found.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
-                size += len(text)
-                if size >= BLOCK_BYTES:
-                    yield row()
-                    ids, counts, found, index, _, size = fresh()
-        if ids:
-            yield row()
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, BLOCK)
+        super().__init__()
+        self.merges, self.find = merges, regex.compile(pattern).findall
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.begin, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def learn(self, chunks: set[str]) -> None:
+        """Slots for chunks not met yet: a chunk's ids are those of its words in a row; each distinct word is folded once."""
+        if len(self) > KEPT:
+            self.clear()
+        new = [c for c in chunks if c not in self]
+        cut = [self.find(c) for c in new]
+        words = list(set().union(*cut)) if cut else []
+        codes = dict(zip(words, self.merges.fold([w.encode() for w in words]), strict=True))
+        ids = [np.concatenate([codes[w] for w in c]) if len(c) > 1 else codes[c[0]] if c else np.zeros(0, np.int64) for c in cut]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        begin = np.cumsum(n) - n + len(self.flat)
+        for at, chunk in enumerate(new, len(self)):
+            self[chunk] = at
+        self.begin, self.length = np.concatenate((self.begin, begin)), np.concatenate((self.length, n))
+        self.flat = np.concatenate((self.flat, *ids), dtype=np.uint32, casting="unsafe") if ids else self.flat
+
+    def ids(self, chunks: list[str]) -> np.ndarray:
+        slots = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
+        n = self.length[slots]
+        return self.flat[np.arange(n.sum()) + np.repeat(self.begin[slots] - (np.cumsum(n) - n), n)]
+
+
+#: Two white-space characters in a row: only there do words of the pattern depend on what lies beyond a single space.
+RUN = re.compile(r"[\s\x1c-\x1f]{2}")
+
+
+def chunks_of(text: str) -> list[str]:
+    """The text cut before each space, where that cut is also one between words of the pattern."""
+    if not text or RUN.search(text):
+        return [text] if text else []
+    first, *rest = text.split(" ")
+    return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+
+
+_CODES: dict[tuple[str, str], WordCodes] = {}
+CODED = "doc_id long, n_tokens long, ids binary, decoded binary, ids_sha256 string, decoded_sha256 string"
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, with_bytes: bool = False) -> DataFrame:
     """One row per row of ``docs``: ids and decoded bytes (if asked for), their digests, and the count of ids."""
     spark = docs.sparkSession
     prepare(spark)
-    ranks = load_ranks(ranks_path)
-    shared = spark.sparkContext.broadcast(ranks)
-    coded = with_codes(blocks(docs, pattern), ranks)
+    shared = spark.sparkContext.broadcast(load_ranks(ranks_path))
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _CODES.get((ranks_path, pattern))
+        if known is None:
+            known = _CODES[ranks_path, pattern] = WordCodes(Merges(shared.value), pattern)
         for batch in rows:
-            for at in range(batch.num_rows):
-                yield from strung(batch.slice(at, 1))
-
-    def strung(block: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        take = lambda name, kind: np.frombuffer(block.column(name)[0].as_py(), kind)
-        docs, known, counts, places = take("docs", np.int64), take("known", np.bool_), take("counts", np.int64), take("occurrences", np.int32)
-        codes = block.column("codes").flatten()
-        lengths = codes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = codes.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-        decoded = [x.encode("latin-1") for x in block.column("decoded").flatten().to_pylist()]
-        for word in block.column("long_words").flatten().to_pylist():
-            ids = merge_long(word.encode("latin-1"), shared.value)
-            back = {v: k for k, v in shared.value.items()} if not decoded or len(ids) else {}
-            lengths = np.append(lengths, len(ids))
-            flat = np.append(flat, np.asarray(ids, "<u4"))
-            decoded.append(b"".join(back[i] for i in ids))
-        begins = np.concatenate(([0], np.cumsum(lengths)))[:-1]
-        out: dict[str, list] = {k: [] for k in schema.names}
-        size = done = 0
-        for doc, has, count in zip(docs.tolist(), known.tolist(), counts.tolist(), strict=True):
-            words = places[done : done + count]
-            done += count
-            n = lengths[words]
-            total = int(n.sum())
-            starts = np.cumsum(n) - n
-            ids = flat[np.arange(total) + np.repeat(begins[words] - starts, n)].tobytes()
-            text = b"".join(map(decoded.__getitem__, words.tolist()))
-            for k, v in zip(schema.names, (doc if has else None, total, ids if with_bytes else None, text if with_bytes else None, sha_hex(ids), sha_hex(text)), strict=True):
-                out[k].append(v)
-            size += len(text) if with_bytes else 100
-            if size >= 8 << 20:
-                yield pa.RecordBatch.from_pydict(out, schema)
-                out, size = {k: [] for k in schema.names}, 0
-        if out["doc_id"]:
+            texts = [chunks_of(x.decode()) for x in texts_of(batch)]
+            # a text that could not be cut is encoded word by word, so that no long chunk is kept
+            texts = [known.find(c[0]) if len(c) == 1 and RUN.search(c[0]) else c for c in texts]
+            known.learn(set().union(*texts))
+            out: dict[str, list] = {k: [] for k in schema.names}
+            for doc, chunks in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
+                ids = known.ids(chunks)
+                raw, text = ids.astype("<u4").tobytes(), b"".join(map(known.merges.pieces.__getitem__, ids.tolist()))
+                for k, v in zip(schema.names, (doc, len(ids), raw if with_bytes else None, text if with_bytes else None, sha_hex(raw), sha_hex(text)), strict=True):
+                    out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema)
 
-    return coded.mapInArrow(run, CODED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, CODED)
 
 
 def report(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
