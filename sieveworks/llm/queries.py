@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveworks.llm import byte_bpe, decontaminate, language_id, line_dedup, merkle, pii, token_counts, toxicity
+from sieveworks.llm import byte_bpe, decontaminate, language_id, line_dedup, merkle, pii, substring_dedup, token_counts, toxicity
 from sieveworks.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocabularies
 
@@ -50,6 +54,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_pii": op3_pii,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_line_dedup": op6_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
@@ -88,6 +93,27 @@ SQL: dict[str, str] = {
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
                sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hit USING (row_id) LEFT JOIN items USING (row_id)""",
+    "op4_substring_dedup": """
+        WITH docs AS (
+          SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ), starts AS (
+          SELECT row_id, doc_id, i, array_to_string(w[i : i + 49], ' ') AS s
+          FROM (SELECT row_id, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM docs WHERE len(w) >= 50)
+        ), first_doc AS (
+          SELECT s, min(doc_id) AS least FROM starts GROUP BY s HAVING count(DISTINCT doc_id) > 1
+        ), gone AS (
+          SELECT DISTINCT row_id, unnest(range(i, i + 50)) AS pos
+          FROM starts JOIN first_doc USING (s) WHERE least < doc_id
+        ), words AS (
+          SELECT row_id, doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM docs
+        ), kept AS (
+          SELECT row_id, count(*) AS n_words, count(g.pos) AS n_removed,
+                 string_agg(word, ' ' ORDER BY words.pos) FILTER (WHERE g.pos IS NULL) AS joined
+          FROM words LEFT JOIN gone g USING (row_id, pos) GROUP BY row_id
+        )
+        SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+               sha256(coalesce(joined, '')) AS kept_sha256
+        FROM docs LEFT JOIN kept USING (row_id)""",
     "op6_line_dedup": f"""
         WITH docs AS (
           SELECT row_number() OVER () AS row_id, doc_id, str_split(coalesce(text, ''), chr(10)) AS parts FROM documents
