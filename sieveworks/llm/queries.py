@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveworks.llm import byte_bpe, decontaminate, language_id, line_dedup, merkle, pii, substring_dedup, token_counts, toxicity
+from sieveworks.llm import byte_bpe, decontaminate, language_id, line_dedup, merkle, ngram_jaccard, pii, substring_dedup, token_counts, toxicity
 from sieveworks.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.report(table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_pii": op3_pii,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_token_counts": op5_token_counts,
@@ -93,6 +98,27 @@ SQL: dict[str, str] = {
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
                sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hit USING (row_id) LEFT JOIN items USING (row_id)""",
+    "op2_ngram_jaccard": f"""
+        WITH RECURSIVE docs AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), sets AS (
+          SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                 ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS s
+          FROM docs
+        ), items AS (
+          SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets
+        ), links AS (
+          SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id
+          GROUP BY a.doc_id, b.doc_id
+          HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))
+        ), reach AS (
+          SELECT doc_id AS a, doc_id AS b FROM docs
+          UNION
+          SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+        ), least AS (
+          SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+        )
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN least USING (doc_id)""",
     "op4_substring_dedup": """
         WITH docs AS (
           SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
