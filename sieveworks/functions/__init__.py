@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Column functions the operators share."""
