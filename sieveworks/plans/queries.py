@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sieveworks.functions.paths import ancestors
@@ -235,14 +235,15 @@ def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     walk AS (SELECT DISTINCT src AS start, src AS node, [src] AS path, 1 AS depth FROM edges WHERE src % 10 = 0
              UNION SELECT w.start, e.dst, list_append(w.path, e.dst), w.depth + 1 FROM walk w JOIN edges e ON w.node = e.src
              WHERE NOT list_contains(w.path, e.dst) AND w.depth < 9 AND w.node NOT IN (SELECT node FROM goal))
-    SELECT start, path[-1] AS target, path FROM (
+    SELECT start, path[-1] AS target, array_to_string(path, '>') AS path FROM (
       SELECT start, path, row_number() OVER (PARTITION BY start ORDER BY len(path), path) AS place FROM walk WHERE node IN (SELECT node FROM goal) AND depth <= 8)
     WHERE place = 1""")
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = part_edges(spark, sf_dir, 20)
     targets = table(spark, sf_dir, "part").where("p_brand = 'Brand#11' OR p_size = 7").select(F.col("p_partkey").alias("node"))
     starts = edges.where("src % 10 = 0").select(F.col("src").alias("node"))
-    return graph.shortest_paths(edges, starts, targets).where(F.size("path") <= 8)
+    found = graph.shortest_paths(edges, starts, targets).where(F.size("path") <= 8)
+    return found.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ">"))
 
 
 @query(f"""WITH RECURSIVE {edge_sql(20)}, through AS (SELECT p_partkey AS file FROM part WHERE p_size <= 25),
@@ -335,22 +336,22 @@ def repo_map_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("dir", "file_count", "most_imported", F.element_at("files", 1)["path"].alias("first"))
 
 
-@query(f"WITH {edge_sql(1)}, {FILE_SQL} SELECT path FROM files WHERE p_partkey NOT IN (SELECT dst FROM edges)")
+@query(f"WITH {edge_sql(20)}, {FILE_SQL} SELECT path FROM files WHERE p_partkey NOT IN (SELECT dst FROM edges)")
 def entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context.entry_points(part_files(spark, sf_dir), path_edges(spark, sf_dir, 1))
+    return context.entry_points(part_files(spark, sf_dir), path_edges(spark, sf_dir, 20))
 
 
-@query(f"WITH {edge_sql(1)}, {FILE_SQL} SELECT path FROM files WHERE p_partkey NOT IN (SELECT dst FROM edges UNION SELECT src FROM edges)")
+@query(f"WITH {edge_sql(20)}, {FILE_SQL} SELECT path FROM files WHERE p_partkey NOT IN (SELECT dst FROM edges UNION SELECT src FROM edges)")
 def unused_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = path_edges(spark, sf_dir, 1)
+    e = path_edges(spark, sf_dir, 20)
     linked = e.select(F.col("src").alias("path")).union(e.select("dst")).distinct()
     return part_files(spark, sf_dir).select("path").join(linked, "path", "left_anti")
 
 
-@query("SELECT p_partkey, p_brand AS name FROM part WHERE p_size > 10 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A')")
+@query("SELECT p_partkey, p_brand AS name FROM part WHERE p_size > 10 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_orderkey % 20 = 0)")
 def unused_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     defs = table(spark, sf_dir, "part").where("p_size > 10").select("p_partkey", F.col("p_brand").alias("name"))
-    calls = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select(F.col("l_partkey").alias("p_partkey")).distinct()
+    calls = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A' AND l_orderkey % 20 = 0").select(F.col("l_partkey").alias("p_partkey")).distinct()
     return defs.join(calls, "p_partkey", "left_anti")
 
 
@@ -370,12 +371,12 @@ def dependency_advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT d.l_orderkey::VARCHAR AS file, d.l_linenumber::VARCHAR AS name, string_agg(c.l_partkey::VARCHAR, ',' ORDER BY c.l_linenumber, c.l_partkey::VARCHAR) AS callees
-    FROM lineitem d JOIN (SELECT l_orderkey, l_partkey, min(l_linenumber) AS l_linenumber FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY ALL) c
+    FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) d JOIN (SELECT l_orderkey, l_partkey, min(l_linenumber) AS l_linenumber FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY ALL) c
       ON c.l_orderkey = d.l_orderkey AND c.l_linenumber BETWEEN d.l_linenumber AND d.l_linenumber + 2
     WHERE d.l_linenumber = 1 GROUP BY ALL""")
 def callees_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0")
-    defs = li.where("l_linenumber = 1").select(F.col("l_orderkey").cast("string").alias("file"), F.col("l_linenumber").cast("string").alias("name"), F.col("l_linenumber").alias("line"), (F.col("l_linenumber") + 2).alias("end_line"))
+    defs = li.where("l_linenumber = 1").select("l_orderkey", "l_linenumber").distinct().select(F.col("l_orderkey").cast("string").alias("file"), F.col("l_linenumber").cast("string").alias("name"), F.col("l_linenumber").alias("line"), (F.col("l_linenumber") + 2).alias("end_line"))
     calls = li.select(F.col("l_orderkey").cast("string").alias("file"), F.col("l_partkey").cast("string").alias("name"), F.lit(None).cast("string").alias("recv"), F.col("l_linenumber").alias("line"))
     return context.callees(defs, calls).select("file", "name", F.array_join("callees", ",").alias("callees"))
 
@@ -396,7 +397,7 @@ def adjacent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     WITH RECURSIVE s AS (
-      SELECT l_orderkey AS fn, l_linenumber AS idx, l_partkey % 6 AS target, l_suppkey % 6 AS reads, l_returnflag = 'A' AS is_source, l_linestatus = 'F' AS is_sink FROM lineitem WHERE l_orderkey % 5 = 0),
+      SELECT l_orderkey AS fn, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)::INT AS idx, l_partkey % 6 AS target, l_suppkey % 6 AS reads, l_returnflag = 'A' AS is_source, l_linestatus = 'F' AS is_sink FROM lineitem WHERE l_orderkey % 5 = 0),
     walk AS (
       SELECT fn, 0 AS idx, []::BIGINT[] AS tainted, false AS hit FROM (SELECT DISTINCT fn FROM s)
       UNION ALL
@@ -405,9 +406,10 @@ def adjacent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM walk w JOIN s ON s.fn = w.fn AND s.idx = w.idx + 1)
     SELECT fn::VARCHAR AS fn, idx AS line FROM walk WHERE hit""")
 def taint_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0").withColumn("idx", place)
     name = lambda c: (F.col(c) % 6).cast("string")
-    s = li.select(F.col("l_orderkey").cast("string").alias("fn"), F.col("l_linenumber").alias("idx"), F.col("l_linenumber").alias("line"), name("l_partkey").alias("target"), (F.col("l_returnflag") == "A").alias("is_source"), F.array(name("l_suppkey")).alias("reads"), F.when(F.col("l_linestatus") == "F", "sink").alias("sink"))
+    s = li.select(F.col("l_orderkey").cast("string").alias("fn"), "idx", F.col("idx").alias("line"), name("l_partkey").alias("target"), (F.col("l_returnflag") == "A").alias("is_source"), F.array(name("l_suppkey")).alias("reads"), F.when(F.col("l_linestatus") == "F", "sink").alias("sink"))
     return statements.tainted_sinks(s).select("fn", "line")
 
 
