@@ -17,6 +17,8 @@ from sieveworks.llm.common import partitions, prepare
 
 #: Blocks for each shuffle partition.
 SPLIT = 1
+#: Name of the column that holds a document's block; other columns may have any other name.
+BLOCK = "__block"
 
 
 def block_count(df: DataFrame) -> int:
@@ -24,8 +26,8 @@ def block_count(df: DataFrame) -> int:
 
 
 def into_blocks(docs: DataFrame, *columns: str) -> DataFrame:
-    """``docs`` with ``block``, dealt out by it. Rows without an id go by their text."""
+    """The given columns of ``docs`` and the block, dealt out by it. Rows without an id go by their text."""
     prepare(docs.sparkSession)
     n = block_count(docs)
     key = F.xxhash64(F.coalesce(F.xxhash64(F.col("doc_id").cast("long")), F.xxhash64("text")))
-    return docs.select(*columns, F.pmod(key, F.lit(n)).cast("int").alias("block")).repartition(n, "block")
+    return docs.select(*columns, F.pmod(key, F.lit(n)).cast("int").alias(BLOCK)).repartition(n, BLOCK)

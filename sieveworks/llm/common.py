@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveworks.session import ship
+from sieveworks.session import saved, shared_dir, ship
+
+__all__ = ["Words", "WordHashes", "batches", "grams", "mix64", "partitions", "prepare", "saved", "sha_hex", "shared_dir", "table", "texts_of"]
 
 #: Rows and bytes of one Arrow batch; a batch is the unit of work of every vectorised worker.
 BATCH_ROWS = 4000
@@ -25,24 +26,6 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="sieveworks-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends there, on files every executor can reach."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session: the one knob that grows with the data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -104,6 +87,66 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+class Words:
+    """Places and 64-bit hashes of the words of texts (runs of bytes other than ASCII white space), whole texts at a time.
+
+    A word's hash is a polynomial over a table of random numbers by byte, taken
+    from running sums; multiplying by the inverse power makes it independent of
+    the word's place.
+    """
+
+    STEP = 0x9E3779B97F4A7C15
+    CHUNK = 1 << 22
+
+    def __init__(self) -> None:
+        self.table = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+        self.inside = np.ones(256, np.int8)
+        self.inside[list(b" \t\n\v\f\r")] = 0
+        self.power, self.inverse = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if len(self.power) < n:
+            size = max(n, 1 << 14)
+            one = lambda step: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, step, np.uint64))))
+            self.power, self.inverse = one(self.STEP), one(pow(self.STEP, -1, 1 << 64))
+
+    def scan(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begins, ends and hashes."""
+        if len(text) > self.CHUNK:
+            return self._scan_long(text)
+        raw = np.frombuffer(text, np.uint8)
+        n = len(raw)
+        self._grow(n + 1)
+        edge = np.zeros(n + 2, np.int8)
+        edge[1:-1] = self.inside[raw]
+        edge = np.diff(edge)
+        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.table[raw] * self.power[:n], out=total[1:])
+        return begin, end, mix64((total[end] - total[begin]) * self.inverse[begin])
+
+    def _scan_long(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Piece by piece, cut at white space where there is some; a longer word is hashed by itself."""
+        parts, at = [], 0
+        while at < len(text):
+            stop = min(len(text), at + self.CHUNK)
+            while stop < len(text) and self.inside[text[stop]]:
+                stop += 1
+            piece = text[at:stop]
+            if len(piece) > 4 * self.CHUNK:
+                import xxhash
+
+                found = [(m.start(), m.end(), xxhash.xxh3_64_intdigest(m[0])) for m in re.finditer(rb"[^\x20\x09-\x0D]+", piece)]
+                b, e, h = (np.array([x[i] for x in found], np.uint64 if i == 2 else np.int64) for i in range(3))
+            else:
+                size, self.CHUNK = self.CHUNK, len(piece)
+                b, e, h = self.scan(piece)
+                self.CHUNK = size
+            parts.append((b + at, e + at, h))
+            at = stop
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def grams(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n consecutive words that start at each position (the last n - 1 positions have none)."""
     if len(h) < n:

@@ -78,7 +78,8 @@ class FMIndex:
             kept[length] = rank
             if rank.max(initial=0) == self.size - 1 and length >= window:
                 break
-        self.order = order
+        self.order, self.ranks = order, kept
+        self.by_length: dict[int, tuple] = {}
         self.short, self.full = self._classes(kept, window - 1), self._classes(kept, window)
         bwt = texts[order - 1]
         self.matrix = WaveletMatrix(bwt, self.alphabet)
@@ -113,6 +114,22 @@ class FMIndex:
         number = self.short[0][low]
         return self.short[1][number], self.short[2][number]
 
+    def _extend_shorter(self, low: int, matched: int, symbol: int) -> tuple[int, int, int]:
+        """Drops words at the match's end until a word can go before it: (low, high, words kept); an unknown word keeps none."""
+        if not 0 < symbol < self.alphabet:
+            return 0, self.size, -1
+        one = np.array([symbol])
+        for length in range(matched - 1, 0, -1):
+            if length not in self.by_length:
+                self.by_length[length] = self._classes(self.ranks, length)
+            number, begin, end = self.by_length[length]
+            at = number[low]
+            new_low, new_high = self.extend(begin[at : at + 1], end[at : at + 1], one)
+            if new_low[0] < new_high[0]:
+                return int(new_low[0]), int(new_high[0]), length
+        new_low, new_high = self.extend(np.zeros(1, np.int64), np.full(1, self.size), one)
+        return int(new_low[0]), int(new_high[0]), 0
+
     def statistics(self, begin: np.ndarray, end: np.ndarray, patterns: np.ndarray) -> np.ndarray:
         """Streams patterns (``patterns[begin:end]``, by word numbers) from their ends.
 
@@ -137,10 +154,8 @@ class FMIndex:
             known = (symbol > 0) & (symbol < self.alphabet)
             new_low, new_high = self.extend(low, high, np.where(known, symbol, 0))
             good = known & (new_low < new_high)
-            # a word that cannot go before the match starts a new match, of itself if it is known
-            lost = np.flatnonzero(~good)
-            if len(lost):
-                new_low[lost], new_high[lost], matched[lost] = 0, self.size, -1
+            for lost in np.flatnonzero(~good).tolist():  # only in texts that the index does not hold
+                new_low[lost], new_high[lost], matched[lost] = self._extend_shorter(int(low[lost]), int(matched[lost]), int(symbol[lost]))
             low, high, matched = new_low, new_high, matched + 1
             hit = np.flatnonzero(matched == self.window)
             out[at[hit]] = self.full[0][low[hit]]

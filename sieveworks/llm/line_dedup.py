@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sieveworks.llm.blocks import into_blocks
+from sieveworks.llm.blocks import BLOCK, into_blocks
 from sieveworks.llm.common import mix64, partitions, prepare, saved, sha_hex, shared_dir
 
 MIN_CHARS = 10
@@ -163,7 +163,7 @@ def reports(blocks: DataFrame, shards: int, min_chars: int) -> DataFrame:
         seen = 0
         for batch in rows:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            for block, doc, text in zip(batch.column("block").to_pylist(), batch.column("doc_id").to_pylist(), texts, strict=True):
+            for block, doc, text in zip(batch.column(BLOCK).to_pylist(), batch.column("doc_id").to_pylist(), texts, strict=True):
                 if doc is None or not text:
                     continue
                 mine = held.setdefault(block, {})
@@ -267,7 +267,7 @@ def apply(blocks: DataFrame, found: DataFrame, min_chars: int, out: T.StructType
         results = [split_text(text or b"", doc, drops, min_chars) for doc, text in zip(docs.column("doc_id").to_pylist(), texts, strict=True)]
         return make(docs, results)
 
-    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, out)
+    return blocks.groupBy(BLOCK).cogroup(found.groupBy("block")).applyInArrow(run, out)
 
 
 def _plan(docs: DataFrame, min_chars: int, columns: list[str]) -> tuple[DataFrame, DataFrame]:

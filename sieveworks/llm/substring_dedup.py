@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveworks.llm.blocks import into_blocks
-from sieveworks.llm.common import WordHashes, grams, mix64, partitions, saved, sha_hex
+from sieveworks.llm.blocks import BLOCK, into_blocks
+from sieveworks.llm.common import Words, grams, mix64, partitions, saved, sha_hex
 from sieveworks.llm.fm_index import FMIndex
 
 WINDOW = 50
@@ -43,14 +43,14 @@ INDEX_WORDS = 600_000
 class Anchors:
     """Anchors of one text: places, first and last window of each."""
 
-    def __init__(self, words: list[bytes], hashes: WordHashes, window: int) -> None:
-        self.words, self.window = words, window
-        n = len(words) - window + 1
+    def __init__(self, text: bytes, scan: Words, window: int) -> None:
+        self.text, self.window = text, window
+        self.begin, self.end, self.hash = scan.scan(text)
+        n = len(self.begin) - window + 1
         if n <= 0:
             self.place = self.first = self.last = np.zeros(0, np.int64)
             self.key = np.zeros(0, np.uint64)
             return
-        self.hash = hashes.of(words)
         g = grams(self.hash, GRAM)
         # high bits of the hash, then the place: the least is the leftmost of the least
         v = (g & np.uint64(0xFFFFFFFFFF000000)) | (np.arange(len(g), dtype=np.uint64) & np.uint64(0xFFFFFF))
@@ -71,7 +71,7 @@ class Anchors:
         out, size, left = None, 1, self.window
         part, power = self.hash.copy(), m
         begin = 0
-        n = len(self.words) - self.window + 1
+        n = len(self.begin) - self.window + 1
         with np.errstate(over="ignore"):
             while left:
                 if left & 1:
@@ -105,6 +105,10 @@ class Anchors:
                     yield key, begin, at - 1 + self.window
                     begin = None
 
+    def words(self, begin: int, end: int) -> bytes:
+        """Words from ``begin`` to ``end``, with a space between."""
+        return b" ".join(self.text[self.begin[begin] : self.end[end - 1]].split())
+
     def region_hash(self, begin: int, end: int) -> int:
         import xxhash
 
@@ -134,14 +138,14 @@ REPORT = "key long, block int, min_doc long, max_doc long, n long"
 
 def anchor_reports(blocks: DataFrame, window: int) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        scan = Words()
         held: dict[int, tuple[list, list]] = {}
         size = 0
         for batch in rows:
-            for block, doc, text in zip(batch.column("block").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            for block, doc, text in zip(batch.column(BLOCK).to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 if doc is None or not text:
                     continue
-                a = Anchors(text.split(), hashes, window)
+                a = Anchors(text, scan, window)
                 if len(a.key):
                     keys, docs = held.setdefault(block, ([], []))
                     keys.append(np.unique(a.key))
@@ -191,9 +195,9 @@ def _wanted(right: pa.Table) -> tuple[dict[int, bool], set[int]]:
 
 
 def _documents(docs: pa.Table, window: int) -> Iterator[tuple[int, Anchors]]:
-    hashes = WordHashes()
+    scan = Words()
     for doc, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").cast(pa.binary()).to_pylist(), strict=True):
-        yield doc, Anchors((text or b"").split(), hashes, window)
+        yield doc, Anchors(text or b"", scan, window)
 
 
 def window_reports(blocks: DataFrame, hot: DataFrame, window: int) -> DataFrame:
@@ -211,10 +215,10 @@ def window_reports(blocks: DataFrame, hot: DataFrame, window: int) -> DataFrame:
                     h = a.window_hashes()
                     keys.append(np.unique(np.concatenate([h[a.first[i] : a.last[i] + 1] for i in mine])))
                     ids.append(doc)
-        block = docs.column("block")[0].as_py() if docs.num_rows else 0
+        block = docs.column(BLOCK)[0].as_py() if docs.num_rows else 0
         return pa.Table.from_batches([_reports(block, keys, ids)])
 
-    return blocks.groupBy("block").cogroup(hot.groupBy("block")).applyInArrow(run, REPORT)
+    return blocks.groupBy(BLOCK).cogroup(hot.groupBy("block")).applyInArrow(run, REPORT)
 
 
 REGION = "key long, block int, region long, words binary, min_doc long, max_doc long, hot boolean"
@@ -235,8 +239,8 @@ def regions(blocks: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                     if at in found:
                         found[at][1:3] = min(found[at][1], doc), max(found[at][2], doc)
                     else:
-                        found[at] = [b" ".join(a.words[begin:end]), doc, doc, anchors[key]]
-        block = docs.column("block")[0].as_py() if docs.num_rows else 0
+                        found[at] = [a.words(begin, end), doc, doc, anchors[key]]
+        block = docs.column(BLOCK)[0].as_py() if docs.num_rows else 0
         rows = list(found.values())
         keys = np.array(list(found), np.uint64).reshape(-1, 2)
         return pa.table({
@@ -245,7 +249,7 @@ def regions(blocks: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
             "max_doc": pa.array([x[2] for x in rows], pa.int64()), "hot": pa.array([x[3] for x in rows], pa.bool_()),
         })
 
-    return blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(run, REGION)
+    return blocks.groupBy(BLOCK).cogroup(wanted.groupBy("block")).applyInArrow(run, REGION)
 
 
 ANSWER = "block int, key long, region long, hot boolean, payload binary"
@@ -256,7 +260,12 @@ def judged(found: DataFrame, window: int) -> DataFrame:
     n = partitions(found.sparkSession)
 
     def index(rows: list[tuple]) -> pa.RecordBatch:
-        texts = [r[3].split() for r in rows]
+        # copies of a passage in several blocks are one text of the index, of their smallest document
+        alike: dict[tuple[int, bytes], int] = {}
+        of = [alike.setdefault((r[0], r[3]), len(alike)) for r in rows]
+        texts = [words.split() for _, words in alike]
+        first = np.full(len(texts), np.iinfo(np.int64).max)
+        np.minimum.at(first, of, np.fromiter((r[4] for r in rows), np.int64, len(rows)))
         number: dict[bytes, int] = {}
         flat = np.fromiter((number.setdefault(w, len(number) + 1) for t in texts for w in (*t, b"")), np.int64)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -265,11 +274,11 @@ def judged(found: DataFrame, window: int) -> DataFrame:
         flat = np.where(flat == end_of, 0, np.where(flat > end_of, flat - 1, flat))
         end = np.cumsum(sizes + 1) - 1
         fm = FMIndex(flat, window)
-        least = fm.least(np.repeat(np.fromiter((r[4] for r in rows), np.int64, len(rows)), sizes + 1))
+        least = fm.least(np.repeat(first, sizes + 1))
         place = fm.statistics(end - sizes, end, flat)
         out = []
-        for r, stop, size in zip(rows, end.tolist(), sizes.tolist(), strict=True):
-            values = least[place[stop - size : stop - window + 1]]
+        for r, at in zip(rows, of, strict=True):
+            values = least[place[end[at] - sizes[at] : end[at] - window + 1]]
             if values.min(initial=r[5]) < r[5]:
                 out.append((r[1], r[0], r[2], r[6], values.tobytes()))
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], names=["block", "key", "region", "hot", "payload"])
@@ -306,7 +315,7 @@ def cut(blocks: DataFrame, answers: DataFrame, window: int) -> DataFrame:
                 known.setdefault(int(key[i]), {})[int(region[i])] = np.frombuffer(payload[i].as_py(), np.int64)
         n_words, n_removed, kept = [], [], []
         for doc, a in _documents(docs, window):
-            gone = np.zeros(len(a.words) + 1, np.int64)
+            gone = np.zeros(len(a.begin) + 1, np.int64)
             if doc is not None and anchors and len(a.key):
                 for key_, begin, end in a.regions(anchors, windows):
                     least = known[key_].get(a.region_hash(begin, end))
@@ -316,13 +325,14 @@ def cut(blocks: DataFrame, answers: DataFrame, window: int) -> DataFrame:
                         np.add.at(gone, at + window, -1)
             hit = np.cumsum(gone[:-1]) > 0
             removed = int(hit.sum())
-            words = [w for w, h in zip(a.words, hit.tolist(), strict=True) if not h] if removed else a.words
-            n_words.append(len(a.words))
+            words = a.text.split()
+            words = [w for w, h in zip(words, hit.tolist(), strict=True) if not h] if removed else words
+            n_words.append(len(a.begin))
             n_removed.append(removed)
             kept.append(sha_hex(b" ".join(words)))
         return pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(kept, pa.string())})
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return blocks.groupBy(BLOCK).cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def report(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
