@@ -11,10 +11,12 @@ class and those just above it meet in that class's sketch.
 Sets, not documents, are joined: copies share one. A set with fewer bands in
 common with any others than a link needs can have no link and is dropped (this
 clears sets that only share boilerplate, without looking at a pair). In what is
-left each band's most central set stands for the others: pairs with it are
-verified on the words of the texts, and sets already connected are not compared
-again. Where a band still holds several components, its pairs across components
-are counted and verified too, so no link that connects anything is missed.
+left each band's most central set stands for the others, and pairs with it are
+candidates. Candidates whose plain bit sketches (one parity bit for each shingle)
+are farther apart than D go; the rest are verified on the words of the texts.
+Where a band still holds several components, all its sets are compared by their
+bit sketches across components, in blocks of bounded size, and near ones verified.
+There a set leaves out its most crowded bands, one fewer than a link must share.
 
 Defined results: null and empty texts have no shingles and are linked with
 nothing; a text of fewer than five words has one shingle, all its words; rows of
@@ -27,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveworks.llm.common import WordHashes, grams, mix64, partitions, prepare, saved, texts_of
+from sieveworks.llm.common import Words, grams, mix64, partitions, prepare, saved, texts_of
 from sieveworks.llm.graph import components
 
 SHINGLE = 5
@@ -42,26 +44,27 @@ LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 FLUSH = 3_000_000
 #: Most rows that are broadcast (of one number each); beyond, the join is shuffled.
 BROADCAST_ROWS = 1_000_000
-#: Sets in a band beyond which pairs across components are first sought in their smaller bands.
-CROWD = 32
+#: Sets of one band that are compared in one block, and rows of one hub's bands that one task compares.
+BLOCK = 2048
+TASK_ROWS = 20_000
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(LOWER).split()
 
 
-def shingles(words: list[bytes], hashes: WordHashes) -> np.ndarray:
+def shingles(text: bytes, scan: Words) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = hashes.of(words)
-    s = np.sort(grams(h, SHINGLE) if len(words) >= SHINGLE else grams(h, len(words)) ^ np.uint64(len(words)))
+    h = scan.scan(text.translate(LOWER))[2]
+    if not len(h):
+        return h
+    s = np.sort(grams(h, SHINGLE) if len(h) >= SHINGLE else grams(h, len(h)) ^ np.uint64(len(h)))
     return s[np.concatenate(([True], s[1:] != s[:-1]))]
 
 
 def spare(n: int) -> int:
     """Bands beyond those the pigeonhole needs: they let sets be dropped that share few."""
-    return 2 + n // 20
+    return 4 + n // 10
 
 
 def bands_of(s: np.ndarray) -> tuple[list[np.ndarray], int]:
@@ -72,7 +75,7 @@ def bands_of(s: np.ndarray) -> tuple[list[np.ndarray], int]:
     top = n.bit_length() - 1
     low = top - 1 if top and n * SHARE <= ((1 << top) - 1) * WHOLE else top
     for size_class in range(low, top + 1):
-        count = max(64, 1 << size_class)
+        count = max(256, 4 << size_class)
         band = ((s >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
         begin = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1])))
         sketch = np.bitwise_xor.reduceat(s, begin)
@@ -87,6 +90,23 @@ def bands_of(s: np.ndarray) -> tuple[list[np.ndarray], int]:
     return keys, max(1, least)
 
 
+def sketch_of(s: np.ndarray) -> bytes:
+    """One parity bit for each shingle, of some eight bits a shingle: its Hamming distance bounds the difference from below."""
+    size = max(512, 8 << (len(s).bit_length() - 1))
+    bits = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketch: bytes, size: int) -> bytes:
+    """The sketch of fewer bits of the same set."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint8).reshape(-1, size)).tobytes() if len(sketch) > size else sketch
+
+
+def distance(a: bytes, b: bytes) -> int:
+    size = min(len(a), len(b))
+    return (int.from_bytes(folded(a, size)) ^ int.from_bytes(folded(b, size))).bit_count()
+
+
 def node_of(s: np.ndarray) -> int:
     import xxhash
 
@@ -98,28 +118,29 @@ def _signed(x: list[int] | np.ndarray) -> np.ndarray:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (null for an empty set) and the least number of shared bands of a link."""
+    """doc_id, n_shingles, node (null for an empty set), bit sketch and the least number of shared bands of a link."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        scan = Words()
         for batch in rows:
-            n, node, least = [], [], []
+            n, node, least, sketch = [], [], [], []
             for text in texts_of(batch):
-                s = shingles(words_of(text), hashes)
+                s = shingles(text, scan)
                 n.append(len(s))
                 node.append(node_of(s) if len(s) else None)
                 least.append(bands_of(s)[1] if len(s) else 0)
+                sketch.append(sketch_of(s) if len(s) else None)
             ids = pa.array([None if x is None else x - (1 << 64) if x >> 63 else x for x in node], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), ids, pa.array(least, pa.int64())], names=["doc_id", "n_shingles", "node", "least"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), ids, pa.array(least, pa.int64()), pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "node", "least", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, least long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, least long, sketch binary")
 
 
 def band_keys(docs: DataFrame, shards: int) -> DataFrame:
     """Packed (key, node) pairs for each shard; a set met again in the task is not repeated."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        scan, seen = Words(), set()
         keys: list[np.ndarray] = []
         nodes: list[int] = []
         size = 0
@@ -137,7 +158,7 @@ def band_keys(docs: DataFrame, shards: int) -> DataFrame:
 
         for batch in rows:
             for text in texts_of(batch):
-                s = shingles(words_of(text), hashes)
+                s = shingles(text, scan)
                 if not len(s) or (node := node_of(s)) in seen:
                     continue
                 if len(seen) < 2_000_000:
@@ -217,11 +238,11 @@ def sets_with_text(rows: DataFrame) -> DataFrame:
     """One (node, text) for each node, from rows (doc_id, text, node) whose text has that set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        scan = Words()
         for batch in batches:
             good = []
             for text, node in zip(texts_of(batch), batch.column("node").to_pylist(), strict=True):
-                s = shingles(words_of(text), hashes)
+                s = shingles(text, scan)
                 good.append(len(s) > 0 and node_of(s) == node % (1 << 64))
             yield batch.select(["node", "text"]).filter(pa.array(good, pa.bool_()))
 
@@ -229,34 +250,96 @@ def sets_with_text(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "node long, text string").dropDuplicates(["node"])
 
 
+def near(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose bit sketches do not rule a link out."""
+    side = lambda x: known.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            c = {k: t.column(k).to_pylist() for k in ("n_a", "n_b", "sketch_a", "sketch_b")}
+            good = [distance(x, y) <= (n + m) // SEVENTH for n, m, x, y in zip(*c.values(), strict=True)]
+            yield t.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def across(rows: DataFrame) -> DataFrame:
+    """Near pairs (a, b) of different roots within (key, i, j); rows: hub, key, i, j, part, node, root, n, sketch.
+
+    Where i and j differ, sets of part i are compared with those of part j only.
+    Bands of one hub are compared by few tasks, each of a bounded number of rows:
+    they mostly hold the same sets, so a task finds a pair once for all its bands.
+    """
+
+    def compare(group: list[tuple]) -> Iterator[tuple[int, int]]:
+        _, i, j = group[0][:3]
+        if len({g[5] for g in group}) < 2:
+            return
+        size = min(len(g[7]) for g in group)
+        x = np.frombuffer(b"".join(folded(g[7], size) for g in group), np.uint64).reshape(len(group), -1)
+        part, node, root, n = (np.array([g[k] for g in group], np.int64) for k in (3, 4, 5, 6))
+        for begin in range(0, len(group), 64):
+            rows = slice(begin, begin + 64)
+            near_ = np.bitwise_count(x[rows, None, :] ^ x[None, :, :]).sum(-1, dtype=np.int64) <= (n[rows, None] + n[None, :]) // SEVENTH
+            near_ &= (root[rows, None] != root[None, :]) & (node[rows, None] < node[None, :])
+            if i != j:
+                near_ &= part[rows, None] != part[None, :]
+            for a, b in zip(*np.nonzero(near_), strict=True):
+                yield int(node[begin + a]), int(node[b])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[tuple[int, int]] = set()
+        group: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            pairs = list(found)
+            found.clear()
+            return pa.RecordBatch.from_pydict({"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group and group[0][:3] != row[:3]:
+                    found.update(compare(group))
+                    group = []
+                    if len(found) > 200_000:
+                        yield out()
+                group.append(row)
+        if group:
+            found.update(compare(group))
+        yield out()
+
+    tasks = rows.groupBy("hub").agg(F.ceil(F.count("*") / TASK_ROWS).cast("int").alias("tasks"))
+    salted = rows.join(tasks, "hub").withColumn("salt", F.pmod(F.xxhash64("key", "i", "j"), F.col("tasks")))
+    dealt = salted.repartition(partitions(rows.sparkSession), "hub", "salt").sortWithinPartitions("hub", "salt", "key", "i", "j")
+    return dealt.select("key", "i", "j", "part", "node", "root", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
+
+
 def links(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """Links (a, b) between sets: enough of them to connect all that links connect. ``known``: node, doc, least."""
-    spark = docs.sparkSession
-    shards = partitions(spark)
+    """Links (a, b) between sets: enough of them to connect all that links connect. ``known``: node, doc, n, least, sketch."""
+    shards = partitions(docs.sparkSession)
     member = saved(memberships(band_keys(docs.select("text"), shards), shards), "bands")
     # sets that share fewer bands with all others together than a link takes have none
-    enough = member.groupBy("node").agg(F.count("*").alias("n")).join(known.select("node", "least"), "node").where("n >= least")
-    member = member.join(enough.select("node", "n", "least"), "node")
-    size = member.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct("n", "node")).alias("hub"))
+    enough = member.groupBy("node").agg(F.count("*").alias("shared")).join(known.select("node", "least"), "node").where("shared >= least")
+    member = member.join(enough, "node")
+    size = member.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct("shared", "node")).alias("hub"))
     member = saved(member.join(size.where("size > 1").select("key", "size", F.col("hub.node").alias("hub")), "key"), "bands")
-    # each set and the hub with which it shares most bands
-    stars = member.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
-    best = stars.groupBy("node").agg(F.max(F.struct("n", "hub")).alias("best")).select(F.col("node").alias("a"), F.col("best.hub").alias("b"))
-    first = saved(verified(best, known, docs), "links")
+    # each set and the hubs of its bands
+    stars = member.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    first = saved(verified(saved(near(stars, known), "near"), known, docs), "links")
     roots = components(first)
-    # what is still apart within a band
-    apart = member.join(roots, "node", "left").select("key", "node", "least", F.coalesce("root", "node").alias("root"))
+    # what is still apart within a band; a band of two sets has been looked at
+    apart = member.where("size > 2").join(roots, "node", "left").select("key", "hub", "size", "node", "least", F.coalesce("root", "node").alias("root"))
+    # of the bands of a set the least - 1 most crowded may go: the set and a partner share one of the others
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.col("size").desc(), "key"))
+    shared = member.groupBy("node").agg(F.count("*").alias("bands"))
+    apart = apart.withColumn("place", place).join(shared, "node").where(F.col("place") >= F.least("least", "bands")).drop("place")
     mixed = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("crowd")).where("low <> high")
-    apart = saved(apart.join(mixed.select("key", "crowd"), "key"), "apart")
-    crowded = apart.groupBy("node").agg(F.sum(F.when(F.col("crowd") > CROWD, 1).otherwise(0)).alias("crowds"))
-    apart = apart.join(crowded, "node").withColumn("rest", F.col("least") - F.col("crowds"))
-    # a set with fewer crowded bands than a link shares must share one of the others with its partner
-    apart = saved(apart.where((F.col("crowd") <= CROWD) | (F.col("rest") < 1)), "apart")
-    x = apart.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("rest").alias("resta"))
-    y = apart.select(F.col("key").alias("key_b"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("rest").alias("restb"))
-    across = x.join(y, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")))
-    counted = across.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("resta").alias("resta"), F.first("restb").alias("restb"))
-    second = verified(saved(counted.where(F.col("n") >= F.greatest(F.lit(1), F.least("resta", "restb"))).select("a", "b"), "pairs"), known, docs)
+    apart = apart.join(mixed.select("key", "crowd"), "key").join(known.select("node", "n", "sketch"), "node")
+    count = F.ceil(F.col("crowd") / BLOCK).cast("int")
+    apart = apart.withColumn("part", F.pmod(F.xxhash64("node"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    blocks = apart.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
+    second = verified(saved(across(blocks), "near"), known, docs)
     return first.unionByName(second)
 
 
@@ -265,12 +348,12 @@ def clusters(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = saved(sets(docs), "sets")
-    known = saved(every.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("least").alias("least")), "nodes")
+    known = saved(every.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("n"), F.max("least").alias("least"), F.max("sketch").alias("sketch")), "nodes")
     roots = components(links(docs, known))
     grouped = known.join(roots, "node").groupBy("root").agg(F.min("doc").alias("component"))
     named = roots.join(grouped, "root").select("node", "component")
     named = known.join(named, "node", "left").select("node", F.coalesce("component", "doc").alias("component"))
-    out = every.join(named, "node", "left")
+    out = every.drop("sketch").join(named, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
