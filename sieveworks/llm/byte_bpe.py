@@ -5,7 +5,7 @@ yet, all at once: the words of one length are the rows of a matrix of ids, and a
 round merges in every row the leftmost pair of least rank, until no row has one.
 Words over ``LONG`` bytes use a heap instead, to the same ids. Decoding looks up
 the piece of each id and concatenates. Nothing is shuffled, so a lost executor
-costs only its own batches; a worker's table of words is bounded.
+costs only its own batches; a task's table of words is bounded.
 
 :func:`with_codes` is the same fold in Spark's higher-order functions over a
 column of words. It gives the same ids but takes some 35 microseconds a distinct
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from sieveworks.llm.common import prepare, sha_hex, texts_of
 
-#: Words a worker's table holds before it starts anew.
-KEPT = 1_000_000
+#: Chunks a task's table holds before it starts anew.
+KEPT = 400_000
 LONG = 256
 BUCKETS = 1 << 16
 SPREAD = 40503
@@ -275,7 +275,6 @@ def chunks_of(text: str) -> list[str]:
     return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
 
 
-_CODES: dict[tuple[str, str], WordCodes] = {}
 CODED = "doc_id long, n_tokens long, ids binary, decoded binary, ids_sha256 string, decoded_sha256 string"
 
 
@@ -287,9 +286,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, with_bytes: bool = Fa
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _CODES.get((ranks_path, pattern))
-        if known is None:
-            known = _CODES[ranks_path, pattern] = WordCodes(Merges(shared.value), pattern)
+        known = WordCodes(Merges(shared.value), pattern)
         for batch in rows:
             texts = [chunks_of(x.decode()) for x in texts_of(batch)]
             # a text that could not be cut is encoded word by word, so that no long chunk is kept

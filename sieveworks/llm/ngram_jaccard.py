@@ -47,6 +47,7 @@ BROADCAST_ROWS = 1_000_000
 #: Sets of one band that are compared in one block, and rows of one hub's bands that one task compares.
 BLOCK = 2048
 TASK_ROWS = 20_000
+HUB_BANDS = 128
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -265,7 +266,7 @@ def near(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def across(rows: DataFrame) -> DataFrame:
-    """Near pairs (a, b) of different roots within (key, i, j); rows: hub, key, i, j, part, node, root, n, sketch.
+    """Near pairs (a, b) of different roots within (key, i, j); rows: hub, crowd, key, i, j, part, node, root, n, sketch.
 
     Where i and j differ, sets of part i are compared with those of part j only.
     Bands of one hub are compared by few tasks, each of a bounded number of rows:
@@ -309,9 +310,9 @@ def across(rows: DataFrame) -> DataFrame:
             found.update(compare(group))
         yield out()
 
-    tasks = rows.groupBy("hub").agg(F.ceil(F.count("*") / TASK_ROWS).cast("int").alias("tasks"))
-    salted = rows.join(tasks, "hub").withColumn("salt", F.pmod(F.xxhash64("key", "i", "j"), F.col("tasks")))
-    dealt = salted.repartition(partitions(rows.sparkSession), "hub", "salt").sortWithinPartitions("hub", "salt", "key", "i", "j")
+    # a hub's bands are some hundred at most, each about as crowded
+    salt = F.pmod(F.xxhash64("key", "i", "j"), F.ceil(F.col("crowd") * HUB_BANDS / TASK_ROWS))
+    dealt = rows.withColumn("salt", salt).repartition(partitions(rows.sparkSession), "hub", "salt").sortWithinPartitions("hub", "salt", "key", "i", "j")
     return dealt.select("key", "i", "j", "part", "node", "root", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 

@@ -1,8 +1,8 @@
 """Token counts: pieces are counted once per distinct pre-token and summed over per-document pre-token frequencies.
 
 Each task lists the pre-tokens of its batch by document with their frequencies,
-counts the pieces of those it has not met yet (once; the table of counts is kept
-by the worker and bounded), joins the counts to the frequencies and sums. No ids
+counts the pieces of those it has not met yet (once; the table of counts lives
+as long as the task and is bounded), joins the counts to the frequencies and sums. No ids
 are kept and nothing is shuffled, so the work of a lost executor is its batches'.
 
 A pre-token is a stretch without white space: the tokenizer drops white space
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from sieveworks.llm.common import prepare, texts_of
 
 LIMIT = 2048
-#: Pre-tokens whose counts a worker keeps.
-KEPT = 600_000
+#: Pre-tokens whose counts a task keeps.
+KEPT = 400_000
 #: White space for the tokenizer's normaliser; Python's own split also takes U+001C-U+001F.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 ODD = re.compile("[\x1c-\x1f]")
@@ -56,9 +56,6 @@ class PieceCounts(dict):
             self.update(zip(part, map(len, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
 
 
-_COUNTS: dict[str, PieceCounts] = {}
-
-
 def pre_tokens(text: str) -> list[str]:
     return text.split() if not ODD.search(text) else [x for x in SPACE.split(text) if x]
 
@@ -69,7 +66,7 @@ def count(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _COUNTS.get(vocabulary) or _COUNTS.setdefault(vocabulary, PieceCounts(vocabulary))
+        counts = PieceCounts(vocabulary)
         for batch in rows:
             texts = texts_of(batch)
             frequencies = [Counter(pre_tokens(x.decode())) for x in texts]
