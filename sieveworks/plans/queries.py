@@ -187,8 +187,9 @@ def risk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- graphs: modules are parts, an edge joins the parts of consecutive line items of an order
 
 
-def part_edges(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % every == 0).select("l_orderkey", F.col("l_partkey").alias("src"), F.col("l_linenumber").alias("line"))
+def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of all orders. Of the SQL here only that of ``hot_files`` reads all of them (see README)."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("src"), F.col("l_linenumber").alias("line"))
     after = li.select("l_orderkey", F.col("src").alias("dst"), (F.col("line") - 1).alias("line"))
     return li.join(after, ["l_orderkey", "line"]).select("src", "dst", F.col("l_orderkey").cast("string").alias("source"), "line")
 
@@ -200,22 +201,22 @@ def edge_sql(every: int) -> str:
 
 @query(f"WITH {edge_sql(20)} SELECT dst AS file, count(DISTINCT src) AS n, min(src) AS first FROM edges GROUP BY dst")
 def importers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.importers(part_edges(spark, sf_dir, 20)).select("file", F.size("importers").cast("long").alias("n"), F.element_at("importers", 1).alias("first"))
+    return graph.importers(part_edges(spark, sf_dir)).select("file", F.size("importers").cast("long").alias("n"), F.element_at("importers", 1).alias("first"))
 
 
 @query(f"WITH {edge_sql(1)} SELECT dst AS file, count(DISTINCT src) AS imported_by FROM edges GROUP BY dst ORDER BY imported_by DESC, file LIMIT 10")
 def hot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.hot_files(part_edges(spark, sf_dir, 1))
+    return graph.hot_files(part_edges(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {edge_sql(20)}, reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src) SELECT src, count(*) AS n, min(dst) AS least, max(dst) AS most FROM reach GROUP BY src")
 def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.closure(part_edges(spark, sf_dir, 20)).groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("least"), F.max("dst").alias("most"))
+    return graph.reach(part_edges(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {edge_sql(20)}, reach AS (SELECT src, dst FROM edges WHERE src % 50 = 0 UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src) SELECT src AS start, dst AS node FROM reach")
 def reachable_from(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = part_edges(spark, sf_dir, 20)
+    edges = part_edges(spark, sf_dir)
     starts = edges.where("src % 50 = 0").select(F.col("src").alias("node"))
     return graph.reachable(edges, starts)
 
@@ -223,12 +224,12 @@ def reachable_from(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {edge_sql(20)}, reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src)
     SELECT a.src AS node, least(min(a.dst), a.src) AS scc FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src""")
 def scc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cycle_members(part_edges(spark, sf_dir, 20))
+    return graph.cycle_members(part_edges(spark, sf_dir))
 
 
 @query()
 def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cycles(part_edges(spark, sf_dir, 20))
+    return graph.cycles(part_edges(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {edge_sql(20)}, goal AS (SELECT p_partkey AS node FROM part WHERE p_brand = 'Brand#11' OR p_size = 7),
@@ -239,7 +240,7 @@ def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT start, path, row_number() OVER (PARTITION BY start ORDER BY len(path), path) AS place FROM walk WHERE node IN (SELECT node FROM goal) AND depth <= 8)
     WHERE place = 1""")
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = part_edges(spark, sf_dir, 20)
+    edges = part_edges(spark, sf_dir)
     targets = table(spark, sf_dir, "part").where("p_brand = 'Brand#11' OR p_size = 7").select(F.col("p_partkey").alias("node"))
     starts = edges.where("src % 10 = 0").select(F.col("src").alias("node"))
     found = graph.shortest_paths(edges, starts, targets).where(F.size("path") <= 8)
@@ -256,7 +257,7 @@ def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM shortest s JOIN goal g ON s.node = g.file
     QUALIFY row_number() OVER (PARTITION BY src, node, source ORDER BY line, len(chain), chain) = 1""")
 def layer_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = part_edges(spark, sf_dir, 20)
+    edges = part_edges(spark, sf_dir)
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
     tag = lambda rows, kind, how: rows.select(F.col("p_partkey").alias("file"), F.lit(kind).alias("kind"), F.lit("").alias("reason"), how.alias("confidence"))
     tags = tag(p.where("p_partkey % 5 = 0"), "controller", F.lit("rule")).unionByName(tag(p.where("p_size % 5 < 2"), "repository", F.when(F.col("p_size") % 5 == 0, "hint").otherwise("rule")))
@@ -266,7 +267,7 @@ def layer_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def module_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = part_edges(spark, sf_dir, 20)
+    e = part_edges(spark, sf_dir)
     name = lambda c: F.lpad(F.col(c).cast("string"), 8, "0")
     rows = e.select(F.lit("all").alias("project"), name("src").alias("module"), name("dst").alias("imported"), (F.col("dst") % 11 == 0).alias("forward_ref"), (F.col("src") % 13 == 0).alias("unknown"))
     return graph.circular_modules(rows)
@@ -295,7 +296,7 @@ def missing_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {edge_sql(10)}, drilled AS (SELECT DISTINCT src AS component, source AS prop, dst AS child FROM edges WHERE src % 4 <> 0)
     SELECT b.prop, b.component AS first, b.child AS second, c.child AS third FROM drilled b JOIN drilled c ON c.component = b.child AND c.prop = b.prop""")
 def prop_drilling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = part_edges(spark, sf_dir, 10)
+    e = part_edges(spark, sf_dir)
     passes = e.select(F.lit("f").alias("file"), F.col("src").alias("component"), F.col("source").alias("prop"), F.col("dst").alias("child"))
     used = passes.where("component % 4 = 0").select("file", "component", "prop")
     return graph.two_hops(passes, used).select("prop", "first", "second", "third")
@@ -319,9 +320,9 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.concat_ws("/", "p_brand", F.concat(F.col("p_partkey").cast("string"), F.lit(".ts"))).alias("path"), "p_partkey")
 
 
-def path_edges(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
+def path_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = part_files(spark, sf_dir)
-    e = part_edges(spark, sf_dir, every)
+    e = part_edges(spark, sf_dir)
     e = e.join(names.select(F.col("p_partkey").alias("src"), F.col("path").alias("src_path")), "src").join(names.select(F.col("p_partkey").alias("dst"), F.col("path").alias("dst_path")), "dst")
     return e.select(F.col("src_path").alias("src"), F.col("dst_path").alias("dst"), "source", "line")
 
@@ -332,18 +333,18 @@ FILE_SQL = "files AS (SELECT p_brand || '/' || p_partkey || '.ts' AS path, p_par
 @query(f"""WITH {edge_sql(20)}, {FILE_SQL}, n AS (SELECT dst, count(DISTINCT src) AS n FROM edges GROUP BY dst)
     SELECT p_brand AS dir, count(*) AS file_count, coalesce(max(n), 0) AS most_imported, arg_min(path, (-coalesce(n, 0), path)) AS first FROM files LEFT JOIN n ON dst = p_partkey GROUP BY p_brand""")
 def repo_map_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = context.directories(part_files(spark, sf_dir), path_edges(spark, sf_dir, 20))
+    found = context.directories(part_files(spark, sf_dir), path_edges(spark, sf_dir))
     return found.select("dir", "file_count", "most_imported", F.element_at("files", 1)["path"].alias("first"))
 
 
 @query(f"WITH {edge_sql(20)}, {FILE_SQL} SELECT path FROM files WHERE p_partkey NOT IN (SELECT dst FROM edges)")
 def entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context.entry_points(part_files(spark, sf_dir), path_edges(spark, sf_dir, 20))
+    return context.entry_points(part_files(spark, sf_dir), path_edges(spark, sf_dir))
 
 
 @query(f"WITH {edge_sql(20)}, {FILE_SQL} SELECT path FROM files WHERE p_partkey NOT IN (SELECT dst FROM edges UNION SELECT src FROM edges)")
 def unused_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = path_edges(spark, sf_dir, 20)
+    e = path_edges(spark, sf_dir)
     linked = e.select(F.col("src").alias("path")).union(e.select("dst")).distinct()
     return part_files(spark, sf_dir).select("path").join(linked, "path", "left_anti")
 
