@@ -8,21 +8,24 @@ from pyspark.sql import functions as F
 from sieveworks.llm.common import saved
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) of the nodes of ``links`` (a, b): root is the smallest node reachable.
 
-    A round takes the least root among neighbours and then jumps to the root's own
-    root, so long chains shrink by powers of two; hubs cost one partial minimum per task.
+    Large-star and small-star in turn: a node's larger neighbours, then its smaller
+    ones, are handed to the least of it and its neighbours, until each component is
+    one star. Rounds grow with the logarithm of a chain's length, whatever its labels.
     """
-    pairs = links.where("a <> b").select("a", "b")
-    both = saved(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    roots = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"), "roots")
-    for _ in range(rounds):
-        near = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near")).withColumnRenamed("a", "node")
-        step = roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        up = roots.select(F.col("node").alias("root"), F.col("root").alias("upper"))
-        new = saved(step.join(up, "root", "left").select("node", "old", F.least("root", F.coalesce("upper", "root")).alias("root")), "roots")
-        if new.where("old <> root").isEmpty():
-            return new.select("node", "root")
-        roots = new.select("node", "root")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    nodes = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = saved(nodes.distinct(), "links")
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        large = saved(large, "links")
+        least = large.groupBy("a").agg(F.min("b").alias("least"))
+        handed = large.join(least, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        new = saved(handed.unionByName(least.select("a", F.col("least").alias("b"))).distinct(), "links")
+        # settled: every node has one smaller neighbour, and that one has none
+        if new.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and new.join(new.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
+            return new.toDF("node", "root").unionByName(new.select("b", "b").distinct().toDF("node", "root"))
+        edges = new

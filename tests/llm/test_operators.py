@@ -96,6 +96,13 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_long_chains_with_shuffled_labels(spark):
+    r = random.Random(4)
+    labels = [r.getrandbits(64) - (1 << 63) for _ in range(1000)]
+    links = spark.createDataFrame(list(zip(labels, labels[1:], strict=False)), "a long, b long")
+    assert {r["node"]: r["root"] for r in components(links).collect()} == dict.fromkeys(labels, min(labels))
+
+
 def test_sets_apart_from_their_hub_are_still_linked(spark):
     # many texts around one theme, of which only some pairs are linked
     r = random.Random(9)
