@@ -286,7 +286,7 @@ def module_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
             UNION SELECT e.ref FROM seen s JOIN members e ON e.m = s.x AND e.role = 'export' WHERE e.ref IN (SELECT m FROM members))
           SELECT 1 FROM seen s JOIN given g ON g.m = s.x WHERE g.dep = n.ref)""")
 def missing_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey <= 400")
+    li = table(spark, sf_dir, "lineitem")
     role = F.when(F.col("l_linenumber") == 1, "import").when(F.col("l_linenumber").isin(2, 3), "export").when(F.col("l_linenumber") < 6, "provider").otherwise("need")
     rows = li.select(F.col("l_orderkey").cast("string").alias("module"), role.alias("role"), (F.col("l_partkey") % 40).cast("string").alias("ref")).distinct()
     needs = rows.where("role = 'need'").select("module", F.col("ref").alias("dep"))
@@ -352,7 +352,7 @@ def unused_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, p_brand AS name FROM part WHERE p_size > 10 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_orderkey % 20 = 0)")
 def unused_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     defs = table(spark, sf_dir, "part").where("p_size > 10").select("p_partkey", F.col("p_brand").alias("name"))
-    calls = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A' AND l_orderkey % 20 = 0").select(F.col("l_partkey").alias("p_partkey")).distinct()
+    calls = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select(F.col("l_partkey").alias("p_partkey")).distinct()
     return defs.join(calls, "p_partkey", "left_anti")
 
 
@@ -376,7 +376,7 @@ def dependency_advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
       ON c.l_orderkey = d.l_orderkey AND c.l_linenumber BETWEEN d.l_linenumber AND d.l_linenumber + 2
     WHERE d.l_linenumber = 1 GROUP BY ALL""")
 def callees_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0")
+    li = table(spark, sf_dir, "lineitem")
     defs = li.where("l_linenumber = 1").select("l_orderkey", "l_linenumber").distinct().select(F.col("l_orderkey").cast("string").alias("file"), F.col("l_linenumber").cast("string").alias("name"), F.col("l_linenumber").alias("line"), (F.col("l_linenumber") + 2).alias("end_line"))
     calls = li.select(F.col("l_orderkey").cast("string").alias("file"), F.col("l_partkey").cast("string").alias("name"), F.lit(None).cast("string").alias("recv"), F.col("l_linenumber").alias("line"))
     return context.callees(defs, calls).select("file", "name", F.array_join("callees", ",").alias("callees"))
@@ -408,7 +408,7 @@ def adjacent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT fn::VARCHAR AS fn, idx AS line FROM walk WHERE hit""")
 def taint_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0").withColumn("idx", place)
+    li = table(spark, sf_dir, "lineitem").withColumn("idx", place)
     name = lambda c: (F.col(c) % 6).cast("string")
     s = li.select(F.col("l_orderkey").cast("string").alias("fn"), "idx", F.col("idx").alias("line"), name("l_partkey").alias("target"), (F.col("l_returnflag") == "A").alias("is_source"), F.array(name("l_suppkey")).alias("reads"), F.when(F.col("l_linestatus") == "F", "sink").alias("sink"))
     return statements.tainted_sinks(s).select("fn", "line")
