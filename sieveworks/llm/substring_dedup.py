@@ -38,6 +38,19 @@ GRAM = 8
 HOT = 64
 #: Words in one FM-index; only whole anchors are indexed together.
 INDEX_WORDS = 600_000
+#: Grams whose places are told apart in the low 24 bits of a hash.
+PIECE = 1 << 24
+
+
+def least_places(g: np.ndarray, span: int) -> np.ndarray:
+    """Place of the leftmost least gram in each run of ``span`` grams, of ``PIECE`` grams at most."""
+    # high bits of the hash, then the place: the least is the leftmost of the least
+    wide, width = (g & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(g), dtype=np.uint64), 1
+    while 2 * width <= span:
+        wide, width = np.minimum(wide[:-width], wide[width:]), 2 * width
+    n = len(g) - span + 1
+    at = np.minimum(wide[:n], wide[span - width : span - width + n])
+    return (at & np.uint64(0xFFFFFF)).astype(np.int64)
 
 
 class Anchors:
@@ -52,14 +65,8 @@ class Anchors:
             self.key = np.zeros(0, np.uint64)
             return
         g = grams(self.hash, GRAM)
-        # high bits of the hash, then the place: the least is the leftmost of the least
-        v = (g & np.uint64(0xFFFFFFFFFF000000)) | (np.arange(len(g), dtype=np.uint64) & np.uint64(0xFFFFFF))
-        wide, width = v, 1
         span = window - GRAM + 1
-        while 2 * width <= span:
-            wide, width = np.minimum(wide[:-width], wide[width:]), 2 * width
-        at = np.minimum(wide[:n], wide[span - width : span - width + n])
-        at = (at & np.uint64(0xFFFFFF)).astype(np.int64)
+        at = np.concatenate([begin + least_places(g[begin : begin + PIECE], span) for begin in range(0, n, PIECE - span + 1)])
         begin = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         self.place, self.first = at[begin], begin
         self.last = np.append(begin[1:], n) - 1

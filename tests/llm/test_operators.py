@@ -103,6 +103,25 @@ def test_components_of_long_chains_with_shuffled_labels(spark):
     assert {r["node"]: r["root"] for r in components(links).collect()} == dict.fromkeys(labels, min(labels))
 
 
+def test_anchors_beyond_24_bits_of_places():
+    from sieveworks.llm.substring_dedup import Anchors
+
+    class Scan:
+        def __init__(self, hashes):
+            self.hashes = hashes
+
+        def scan(self, text):
+            places = np.arange(len(self.hashes))
+            return places, places, self.hashes
+
+    words = np.random.default_rng(8).integers(0, 1 << 64, (1 << 24) + 3000, np.uint64)
+    cut = (1 << 24) - 500
+    whole, tail = Anchors(b"", Scan(words), 50), Anchors(b"", Scan(words[cut:]), 50)
+    last = whole.first >= cut + 100  # the window at the cut has an anchor that began before it
+    assert set(zip((whole.place[last] - cut).tolist(), whole.last[last].tolist(), whole.key[last].tolist())) <= set(zip(tail.place.tolist(), (tail.last + cut).tolist(), tail.key.tolist()))
+    assert whole.place[-1] == cut + tail.place[-1] > 1 << 24
+
+
 def test_sets_apart_from_their_hub_are_still_linked(spark):
     # many texts around one theme, of which only some pairs are linked
     r = random.Random(9)
