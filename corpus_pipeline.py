@@ -13,7 +13,7 @@ from sieveworks.llm.common import saved, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without text, without a letter or of a language that cannot be told go."""
+    """Documents told as ``und`` go: those without a letter (all, if no row is labelled). No score threshold is set, so junk with a letter passes."""
     return language_id.keep_known(docs)
 
 
