@@ -316,21 +316,19 @@ def across(rows: DataFrame) -> DataFrame:
     return dealt.select("key", "i", "j", "part", "node", "root", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
-def links(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """Links (a, b) between sets: enough of them to connect all that links connect. ``known``: node, doc, n, least, sketch."""
+def shared_bands(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, node, size, hub, least, shared) of bands of two sets or more, of the sets that may have links."""
     shards = partitions(docs.sparkSession)
     member = saved(memberships(band_keys(docs.select("text"), shards), shards), "bands")
     # sets that share fewer bands with all others together than a link takes have none
     enough = member.groupBy("node").agg(F.count("*").alias("shared")).join(known.select("node", "least"), "node").where("shared >= least")
     member = member.join(enough, "node")
     size = member.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct("shared", "node")).alias("hub"))
-    member = saved(member.join(size.where("size > 1").select("key", "size", F.col("hub.node").alias("hub")), "key"), "bands")
-    # each set and the hubs of its bands
-    stars = member.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    first = saved(verified(saved(near(stars, known), "near"), known, docs), "links")
-    roots = components(first)
-    # what is still apart within a band; a band of two sets has been looked at
-    apart = member.where("size > 2").join(roots, "node", "left").select("key", "hub", "size", "node", "least", F.coalesce("root", "node").alias("root"))
+    return saved(member.join(size.where("size > 1").select("key", "size", F.col("hub.node").alias("hub")), "key"), "bands")
+
+
+def blocks_of(apart: DataFrame, member: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of ``across`` from bands (key, hub, size, node, least, root): those of several roots, in blocks of bounded size."""
     # of the bands of a set the least - 1 most crowded may go: the set and a partner share one of the others
     place = F.row_number().over(Window.partitionBy("node").orderBy(F.col("size").desc(), "key"))
     shared = member.groupBy("node").agg(F.count("*").alias("bands"))
@@ -339,23 +337,53 @@ def links(docs: DataFrame, known: DataFrame) -> DataFrame:
     apart = apart.join(mixed.select("key", "crowd"), "key").join(known.select("node", "n", "sketch"), "node")
     count = F.ceil(F.col("crowd") / BLOCK).cast("int")
     apart = apart.withColumn("part", F.pmod(F.xxhash64("node"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    blocks = apart.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-    second = verified(saved(across(blocks), "near"), known, docs)
+    return apart.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
+
+
+def all_links(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Every link (a, b) between sets, once: all pairs of a band are compared by their bit sketches, and near ones verified."""
+    member = shared_bands(docs, known)
+    apart = member.select("key", "hub", "size", "node", "least", F.col("node").alias("root"))
+    return saved(verified(saved(across(blocks_of(apart, member, known)), "near"), known, docs), "links")
+
+
+def links(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Links (a, b) between sets: enough of them to connect all that links connect. ``known``: node, doc, n, least, sketch."""
+    member = shared_bands(docs, known)
+    # each set and the hubs of its bands
+    stars = member.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    first = saved(verified(saved(near(stars, known), "near"), known, docs), "links")
+    roots = components(first)
+    # what is still apart within a band; a band of two sets has been looked at
+    apart = member.where("size > 2").join(roots, "node", "left").select("key", "hub", "size", "node", "least", F.coalesce("root", "node").alias("root"))
+    second = verified(saved(across(blocks_of(apart, member, known)), "near"), known, docs)
     return first.unionByName(second)
 
 
-def clusters(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row."""
+def clusters(docs: DataFrame, counted: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row.
+
+    If ``counted``, every link is searched, not only enough for components, and
+    n_links is the number of other rows with an id that the row is linked to, copies included.
+    """
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = saved(sets(docs), "sets")
     known = saved(every.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("n"), F.max("least").alias("least"), F.max("sketch").alias("sketch")), "nodes")
-    roots = components(links(docs, known))
+    found = all_links(docs, known) if counted else links(docs, known)
+    roots = components(found)
     grouped = known.join(roots, "node").groupBy("root").agg(F.min("doc").alias("component"))
     named = roots.join(grouped, "root").select("node", "component")
     named = known.join(named, "node", "left").select("node", F.coalesce("component", "doc").alias("component"))
     out = every.drop("sketch").join(named, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    columns = ["doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")]
+    if counted:
+        copies = saved(every.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies")), "copies")
+        both = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        linked = both.join(copies.toDF("b", "others"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("others").alias("others"))
+        out = out.join(copies.join(linked, "node", "left"), "node", "left")
+        columns.append(F.when(F.col("doc_id").isNotNull(), F.coalesce(F.col("copies") - 1 + F.coalesce("others", F.lit(0)), F.lit(0))).alias("n_links"))
+    return out.select(*columns)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -122,6 +122,25 @@ def test_anchors_beyond_24_bits_of_places():
     assert whole.place[-1] == cut + tail.place[-1] > 1 << 24
 
 
+def test_every_link_of_a_component_is_counted(spark):
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(40):
+        w = list(words)
+        for _ in range(1 + i % 3):
+            w[r.randrange(120)] = f"n{r.randrange(5)}"
+        rows.append((i, " ".join(w)))
+    rows += [(50, rows[0][1]), (51, rows[0][1]), (52, "few words"), (53, ""), (54, None)]
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} if t else set() for d, t in rows}
+    linked = lambda a, b: sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    want = {a: sum(bool(linked(a, b)) for b in sets if a != b) for a in sets}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x for x in ngram_jaccard.clusters(docs, counted=True).collect()}
+    assert {d: x["n_links"] for d, x in got.items()} == want and len(set(want.values())) > 5
+    assert {d: x["component_id"] for d, x in got.items()} == {x["doc_id"]: x["component_id"] for x in ngram_jaccard.clusters(docs).collect()}
+
+
 def test_sets_apart_from_their_hub_are_still_linked(spark):
     # many texts around one theme, of which only some pairs are linked
     r = random.Random(9)
