@@ -5,7 +5,10 @@ yet, all at once: the words of one length are the rows of a matrix of ids, and a
 round merges in every row the leftmost pair of least rank, until no row has one.
 Words over ``LONG`` bytes use a heap instead, to the same ids. Decoding looks up
 the piece of each id and concatenates. Nothing is shuffled, so a lost executor
-costs only its own batches; a task's table of words is bounded.
+costs only its own batches. Texts are taken in slices of ``SLICE`` characters, long
+ones cut where no word can reach across, and a task's table of words is emptied
+between slices once it holds ``KEPT`` chunks, so a worker's memory does not grow
+with the input, with a batch or with a text.
 
 :func:`with_codes` is the same fold in Spark's higher-order functions over a
 column of words. It gives the same ids but takes some 35 microseconds a distinct
@@ -18,6 +21,7 @@ rows are each encoded; a null ``doc_id`` stays null.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import json
 import re
@@ -30,8 +34,11 @@ from pyspark.sql import functions as F
 
 from sieveworks.llm.common import prepare, sha_hex, texts_of
 
-#: Chunks a task's table holds before it starts anew.
-KEPT = 400_000
+#: Chunks a task's table holds before it starts anew, and characters of text that are looked at at once.
+KEPT = 100_000
+SLICE = 1 << 20
+#: Ids of one matrix.
+CELLS = 1 << 17
 LONG = 256
 BUCKETS = 1 << 16
 SPREAD = 40503
@@ -151,7 +158,7 @@ class Merges:
                 if left is not None and right is not None:
                     keys.append((left << 32) | right)
                     values.append(rank)
-        self.bits = int(np.ceil(np.log2(8 * len(keys) + 16)))
+        self.bits = int(np.ceil(np.log2(3 * len(keys) + 16)))
         self.key = np.full(1 << self.bits, -1, np.int64)
         self.value = np.full(1 << self.bits, NONE, np.int64)
         key, value = np.array(keys, np.int64), np.array(values, np.int64)
@@ -195,10 +202,10 @@ class Merges:
         for length, where in by_length.items():
             if length > LONG:
                 for i in where:
-                    out[i] = np.array(merge_long(words[i], self.ranks), np.int64)
+                    out[i] = np.array(merge_long(words[i], self.ranks), np.uint32)
                 continue
-            for begin in range(0, len(where), max(1, (1 << 20) // length)):
-                self._rows(words, np.array(where[begin : begin + max(1, (1 << 20) // length)]), length, out)
+            for begin in range(0, len(where), max(1, CELLS // length)):
+                self._rows(words, np.array(where[begin : begin + max(1, CELLS // length)]), length, out)
         return out
 
     def _rows(self, words: list[bytes], where: np.ndarray, length: int, out: list) -> None:
@@ -210,7 +217,7 @@ class Merges:
             at = rank.argmin(1) if n > 1 else np.zeros(len(ids), np.int64)
             merged = rank[np.arange(len(ids)), at] if n > 1 else np.full(len(ids), NONE)
             done = merged == NONE
-            for i, row in zip(where[done].tolist(), ids[done], strict=True):
+            for i, row in zip(where[done].tolist(), ids[done].astype(np.uint32), strict=True):
                 out[i] = row
             if done.all():
                 return
@@ -249,7 +256,7 @@ class WordCodes(dict):
         cut = [self.find(c) for c in new]
         words = list(set().union(*cut)) if cut else []
         codes = dict(zip(words, self.merges.fold([w.encode() for w in words]), strict=True))
-        ids = [np.concatenate([codes[w] for w in c]) if len(c) > 1 else codes[c[0]] if c else np.zeros(0, np.int64) for c in cut]
+        ids = [np.concatenate([codes[w] for w in c]) if len(c) > 1 else codes[c[0]] if c else np.zeros(0, np.uint32) for c in cut]
         n = np.fromiter(map(len, ids), np.int64, len(ids))
         begin = np.cumsum(n) - n + len(self.flat)
         for at, chunk in enumerate(new, len(self)):
@@ -265,6 +272,8 @@ class WordCodes(dict):
 
 #: Two white-space characters in a row: only there do words of the pattern depend on what lies beyond a single space.
 RUN = re.compile(r"[\s\x1c-\x1f]{2}")
+#: A single space between other characters: a word of the pattern may begin there and none reaches across it.
+GAP = re.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])")
 
 
 def chunks_of(text: str) -> list[str]:
@@ -275,6 +284,30 @@ def chunks_of(text: str) -> list[str]:
     return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
 
 
+def pieces_of(text: str, size: int = SLICE) -> Iterator[str]:
+    """The text in pieces of about ``size`` characters, cut before single spaces; without one a piece goes on to the next."""
+    begin = 0
+    while len(text) - begin > size and (gap := GAP.search(text, begin + size)):
+        yield text[begin : gap.start()]
+        begin = gap.start()
+    yield text[begin:]
+
+
+def slices_of(texts: list[str], size: int = SLICE) -> Iterator[list[tuple[int, str]]]:
+    """(row, piece) of the texts in order, in runs of at most about ``size`` characters in all."""
+    held: list[tuple[int, str]] = []
+    left = size
+    for row, text in enumerate(texts):
+        for piece in pieces_of(text, size):
+            if held and left < len(piece):
+                yield held
+                held, left = [], size
+            held.append((row, piece))
+            left -= len(piece)
+    if held:
+        yield held
+
+
 CODED = "doc_id long, n_tokens long, ids binary, decoded binary, ids_sha256 string, decoded_sha256 string"
 
 
@@ -288,16 +321,33 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, with_bytes: bool = Fa
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordCodes(Merges(shared.value), pattern)
         for batch in rows:
-            texts = [chunks_of(x.decode()) for x in texts_of(batch)]
-            # a text that could not be cut is encoded word by word, so that no long chunk is kept
-            texts = [known.find(c[0]) if len(c) == 1 and RUN.search(c[0]) else c for c in texts]
-            known.learn(set().union(*texts))
+            numbers = batch.column("doc_id").to_pylist()
             out: dict[str, list] = {k: [] for k in schema.names}
-            for doc, chunks in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                ids = known.ids(chunks)
-                raw, text = ids.astype("<u4").tobytes(), b"".join(map(known.merges.pieces.__getitem__, ids.tolist()))
-                for k, v in zip(schema.names, (doc, len(ids), raw if with_bytes else None, text if with_bytes else None, sha_hex(raw), sha_hex(text)), strict=True):
+            last, parts = 0, []
+
+            def close(row: int, parts: list[np.ndarray], out: dict[str, list] = out, numbers: list = numbers) -> None:
+                ids = np.concatenate(parts) if len(parts) > 1 else parts[0]
+                raw, text = ids.astype("<u4").tobytes(), hashlib.sha256()
+                held = []
+                for begin in range(0, max(1, len(ids)), SLICE):
+                    decoded = b"".join(map(known.merges.pieces.__getitem__, ids[begin : begin + SLICE].tolist()))
+                    text.update(decoded)
+                    held += [decoded] if with_bytes else []
+                values = numbers[row], len(ids), raw if with_bytes else None, b"".join(held) if with_bytes else None, sha_hex(raw), text.hexdigest()
+                for k, v in zip(schema.names, values, strict=True):
                     out[k].append(v)
+
+            for held in slices_of([x.decode() for x in texts_of(batch)]):
+                # a piece that could not be cut is encoded word by word, so that no long chunk is kept
+                cut = [known.find(c[0]) if len(c) == 1 and RUN.search(c[0]) else c for c in (chunks_of(piece) for _, piece in held)]
+                known.learn(set().union(*cut))
+                for (row, _), chunks in zip(held, cut, strict=True):
+                    if row != last:
+                        close(last, parts)
+                        last, parts = row, []
+                    parts.append(known.ids(chunks))
+            if parts:
+                close(last, parts)
             yield pa.RecordBatch.from_pydict(out, schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, CODED)

@@ -275,6 +275,34 @@ def test_chunks_do_not_change_ids(text):
     assert [w for c in byte_bpe.chunks_of(text) for w in find(c)] == find(text)
 
 
+@pytest.mark.parametrize("text", ["", "a b c d", "a  b \n c d\te f", " x y\u3000z w ", "don't we'll  they've", "1 22 333 \x1c4444 5", "xxxxxxxxxxxxxxxx"])
+def test_pieces_do_not_change_ids(text):
+    import public_tokenizers
+    import regex
+
+    find = regex.compile(public_tokenizers.PATTERN).findall
+    for size in (1, 2, 5):
+        assert [w for c in byte_bpe.pieces_of(text, size) for w in find(c)] == find(text)
+        rows = [x for held in byte_bpe.slices_of([text, "", text], size) for x in held]
+        assert [r for r, _ in rows] == sorted(r for r, _ in rows) and {r for r, _ in rows} == {0, 1, 2}
+        assert "".join(piece for r, piece in rows if r == 2) == text
+
+
+def test_long_texts_are_encoded_in_bounded_slices(spark, monkeypatch):
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(path), special_tokens={})
+    r = random.Random(3)
+    texts = [" ".join(f"word{r.randrange(10**6)}" for _ in range(300_000)), "  \n".join("ab" * r.randrange(9) for _ in range(50_000)), None, "", "z" * 20_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for row in byte_bpe.encode(docs, path, public_tokenizers.PATTERN, with_bytes=True).collect():
+        text = texts[row["doc_id"]] or ""
+        assert np.frombuffer(row["ids"], "<u4").tolist() == e.encode_ordinary(text)
+        assert bytes(row["decoded"]) == text.encode() and row["n_tokens"] * 4 == len(row["ids"])
+
+
 def test_special_strings_and_white_space_in_token_counts():
     import public_tokenizers
     from tokenizers import Tokenizer
