@@ -32,6 +32,8 @@ from sieveworks.llm.blocks import BLOCK, into_blocks
 from sieveworks.llm.common import mix64, partitions, prepare, saved, sha_hex, shared_dir
 
 MIN_CHARS = 10
+#: Blocks for each shuffle partition: a task holds one block's texts at a time.
+SPLIT = 4
 #: What bytes.lower() does is exactly what a key asks for: A-Z only.
 BLANK = b" \t\n\v\f\r"
 
@@ -239,7 +241,7 @@ def verdicts(reported: DataFrame, shards: int) -> DataFrame:
         keep = shared[group]
         yield pa.RecordBatch.from_arrays([pa.array(block[keep]), pa.array(h1[keep].view(np.int64)), pa.array(h2[keep].view(np.int64)), pa.array(least[group][keep])], schema=schema)
 
-    return reported.repartition(shards, "shard").select("h1", "h2", "block", "min_doc", "n_docs").mapInArrow(run, VERDICT)
+    return reported.repartitionById(shards, F.col("shard")).select("h1", "h2", "block", "min_doc", "n_docs").mapInArrow(run, VERDICT)
 
 
 def split_text(text: bytes, doc: int | None, drops: dict[tuple[int, int], int], min_chars: int) -> tuple[int, list[bytes]]:
@@ -271,7 +273,7 @@ def apply(blocks: DataFrame, found: DataFrame, min_chars: int, out: T.StructType
 
 
 def _plan(docs: DataFrame, min_chars: int, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    blocks = into_blocks(docs, *columns)
+    blocks = into_blocks(docs, *columns, split=SPLIT)
     shards = partitions(docs.sparkSession)
     return blocks, verdicts(reports(blocks, shards, min_chars), shards)
 

@@ -162,7 +162,7 @@ def followed(docs: DataFrame) -> DataFrame:
     tails = wanted.join(F.broadcast(heads), (F.col("range") == F.col("from_range")) & F.col("doc_id").eqNullSafe(F.col("head_id")))
     tails = tails.select("doc_id", F.col("least.text").alias("text"), F.col("to_range").alias("range"), F.lit(True).alias("tail"))
     every = docs.withColumn("tail", F.lit(False)).unionByName(tails)
-    return every.repartition(partitions(spark), "range").sortWithinPartitions("range", "tail", F.col("doc_id").desc_nulls_last(), order)
+    return every.repartitionById(partitions(spark) + 1, F.col("range")).sortWithinPartitions("range", "tail", F.col("doc_id").desc_nulls_last(), order)
 
 
 def report(docs: DataFrame) -> DataFrame:
