@@ -16,7 +16,7 @@ __all__ = ["Words", "WordHashes", "batches", "grams", "mix64", "partitions", "pr
 
 #: Rows and bytes of one Arrow batch; a batch is the unit of work of every vectorised worker.
 BATCH_ROWS = 4000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:

@@ -40,8 +40,9 @@ SHINGLE = 5
 SHARE, WHOLE, SEVENTH = 75, 100, 7
 #: Words are cut at ASCII white space; A-Z in lower case.
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-#: Keys a task gathers before it deals them to the shards.
+#: Keys a task gathers before it deals them to the shards, and keys of one packed row: rows stay far below what a JVM must place as one huge object.
 FLUSH = 3_000_000
+PACKED = 8192
 #: Most rows that are broadcast (of one number each); beyond, the join is shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Sets of one band that are compared in one block, and rows of one hub's bands that one task compares.
@@ -153,9 +154,10 @@ def band_keys(docs: DataFrame, shards: int) -> DataFrame:
             order = np.argsort(shard, kind="stable")
             k, v, ends = k[order], v[order], np.cumsum(np.bincount(shard, minlength=shards))
             for i in range(shards):
-                begin, end = (ends[i - 1] if i else 0), ends[i]
-                if begin < end:
-                    yield pa.RecordBatch.from_pydict({"shard": [i], "keys": [k[begin:end].tobytes()], "nodes": [v[begin:end].tobytes()]}, pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary())]))
+                at = range(ends[i - 1] if i else 0, ends[i], PACKED)
+                cut = [slice(b, min(b + PACKED, ends[i])) for b in at]
+                if cut:
+                    yield pa.RecordBatch.from_pydict({"shard": [i] * len(cut), "keys": [k[x].tobytes() for x in cut], "nodes": [v[x].tobytes() for x in cut]}, pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary())]))
 
         for batch in rows:
             for text in texts_of(batch):
@@ -202,7 +204,7 @@ def memberships(packed: DataFrame, shards: int) -> DataFrame:
         for begin in range(0, int(shared.sum()), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(_signed(k[shared][begin : begin + 100_000])), pa.array(_signed(v[shared][begin : begin + 100_000]))], names=["key", "node"])
 
-    return packed.repartition(shards, "shard").select("keys", "nodes").mapInArrow(run, "key long, node long")
+    return packed.repartitionById(shards, F.col("shard")).select("keys", "nodes").mapInArrow(run, "key long, node long")
 
 
 def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
