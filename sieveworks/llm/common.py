@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sieveworks.session import saved, shared_dir, ship
 
-__all__ = ["Words", "WordHashes", "batches", "grams", "mix64", "partitions", "prepare", "saved", "sha_hex", "shared_dir", "table", "texts_of"]
+__all__ = ["free_name", "Words", "WordHashes", "batches", "grams", "mix64", "partitions", "prepare", "saved", "sha_hex", "shared_dir", "table", "texts_of"]
 
 #: Rows and bytes of one Arrow batch; a batch is the unit of work of every vectorised worker.
 BATCH_ROWS = 4000
@@ -35,6 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, led by as many underscores as it takes to differ from all columns (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def sha_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

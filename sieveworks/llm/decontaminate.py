@@ -8,7 +8,8 @@ does not grow with the benchmark, let alone with the corpus.
 
 Defined results: null or empty text has no words and no hits; items without
 words have no windows; repeated rows are each judged; a null ``doc_id`` stays
-null. Extra columns are ignored by :func:`scan` and kept by :func:`decontaminate`.
+null. Item ids may be of any type and are compared as strings; an item without an
+id counts as one item, which digests leave out. Extra columns are ignored by :func:`scan` and kept by :func:`decontaminate`.
 """
 
 from __future__ import annotations
@@ -133,7 +134,7 @@ class SuffixAutomaton:
 def automata(spark: SparkSession, items: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> list:
     """Broadcast automata over ``items`` (item_id, text), ``shard_words`` words in each at most (or one longer item)."""
     shards, held, size = [], [], 0
-    for row in items.select("item_id", F.col("text").cast("binary").alias("text")).toLocalIterator():
+    for row in items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).toLocalIterator():
         words = words_of(bytes(row["text"] or b""))
         if held and size + len(words) > shard_words:
             shards.append(spark.sparkContext.broadcast(SuffixAutomaton(held, window)))
@@ -161,7 +162,7 @@ def cleaned(text: bytes, flags: np.ndarray, min_span: int) -> bytes:
     return b"".join([*out, text[begin:]])
 
 
-RESULT = "doc_id long, n_words long, n_hit long, items array<long>, clean_text string"
+RESULT = "doc_id long, n_words long, n_hit long, items array<string>, clean_text string"
 
 
 def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_span: int = 1, with_text: bool = False) -> DataFrame:
@@ -169,7 +170,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_span: int
     spark = docs.sparkSession
     prepare(spark)
     shards = automata(spark, items, window)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("clean_text", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("clean_text", pa.string())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = [x.value for x in shards]
@@ -186,7 +187,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_span: int
                 out["doc_id"].append(doc)
                 out["n_words"].append(len(words))
                 out["n_hit"].append(int(flags.sum()))
-                out["items"].append(sorted(found))
+                out["items"].append(sorted(found, key=lambda x: (x is None, x or "")))
                 out["clean_text"].append(cleaned(text, flags, min_span).decode() if with_text else None)
             yield pa.RecordBatch.from_pydict(out, schema)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveworks.llm.common import prepare, texts_of
+from sieveworks.llm.common import free_name, prepare, texts_of
 
 SAMPLE = 3000
 WINDOWS = 3
@@ -167,11 +167,12 @@ def has_letter(text: bytes) -> bool:
 
 
 def predict(docs: DataFrame, network: Network) -> DataFrame:
-    """All rows and columns of ``docs`` with ``lang_pred`` and ``score`` after them."""
+    """All rows and columns of ``docs``, then the language and its score, under names that no column of ``docs`` has."""
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(network)
     fields = [f.name for f in docs.schema]
+    names = [free_name("__lang_pred", fields), free_name("__lang_score", fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -193,11 +194,11 @@ def predict(docs: DataFrame, network: Network) -> DataFrame:
                 q /= q.sum(1, keepdims=True)
                 for i, row in zip(some, q, strict=True):
                     pred[i], score[i] = model.languages[int(row.argmax())], float(row.max())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred), pa.array(score)], names=[*fields, "__lang_pred", "__lang_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred), pa.array(score)], names=[*fields, *names])
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__lang_pred", T.StringType()), T.StructField("__lang_score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
 
 
 def report(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -209,4 +210,5 @@ def report(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 def keep_known(docs: DataFrame, least_score: float = 0.0, sample: int = SAMPLE) -> DataFrame:
     """``docs`` without rows whose language cannot be told (``und``) or is told with less than ``least_score``."""
     out = predict(docs, train(docs, sample))
-    return out.where((F.col("__lang_pred") != UNKNOWN) & (F.col("__lang_score") >= least_score)).select(*docs.columns)
+    pred, score = out.columns[-2:]
+    return out.where((F.col(pred) != UNKNOWN) & (F.col(score) >= least_score)).select(*docs.columns)

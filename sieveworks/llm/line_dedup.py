@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sieveworks.llm.blocks import BLOCK, into_blocks
-from sieveworks.llm.common import mix64, partitions, prepare, saved, sha_hex, shared_dir
+from sieveworks.llm.common import free_name, mix64, partitions, prepare, saved, sha_hex, shared_dir
 
 MIN_CHARS = 10
 #: Blocks for each shuffle partition: a task holds one block's texts at a time.
@@ -297,6 +297,8 @@ def report(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with repeated lines gone; ``n_chars``, if there, follows the text. Texts without a dropped line stay as they are."""
+    given = docs.columns
+    docs = docs.toDF(*[free_name(f"_{BLOCK}", given) if c.lower() == BLOCK else c for c in given])
     names = docs.columns
     blocks, found = _plan(docs, min_chars, names)
 
@@ -305,7 +307,8 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         return table.set_column(table.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()).cast(pa.string())).select(names)
 
     out = apply(blocks, found, min_chars, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]), make)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    return out.toDF(*given)
 
 
 class LineIndex:

@@ -65,15 +65,16 @@ def _hash(data: bytes, size: int) -> str:
 
 def fingerprint(text: str) -> str:
     """``root|section:leaf.length,leaf.length|...``; hashes are hexadecimal, lengths in code points."""
-    sections: list[list[str]] = [[]]
+    sections: list[list[tuple[str, int]]] = [[]]
     for leaf in leaves(text):
-        h = _hash(leaf.encode(), 5)
-        sections[-1].append(f"{h}.{len(leaf)}")
+        h = _hash(leaf.encode(), 16)
+        sections[-1].append((h, len(leaf)))
         if leaf == "\n" or int(h[:4], 16) % SECTION == 0:
             sections.append([])
-    rows = [(_hash(",".join(s).encode(), 8), s) for s in sections if s]
+    # nodes are hashed from whole digests; only the names that are written out are short
+    rows = [(_hash(",".join(f"{h}.{n}" for h, n in s).encode(), 16), s) for s in sections if s]
     root = _hash("".join(h for h, _ in rows).encode(), 16)
-    return "|".join([root, *(f"{h}:{','.join(s)}" for h, s in rows)])
+    return "|".join([root, *(f"{h[:16]}:{','.join(f'{x[:10]}.{n}' for x, n in s)}" for h, s in rows)])
 
 
 def likeness(a: str, b: str) -> float:

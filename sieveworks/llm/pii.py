@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sieveworks.llm.common import free_name
+
 #: Code points before and after a span in which context words count.
 CONTEXT = 40
 KINDS = ("email", "ip", "card", "phone", "iban")
@@ -146,20 +148,12 @@ def proposed(kind: str, text: Column) -> Column:
     return F.when(wanted, let(matches, of)).otherwise(none)
 
 
-def _free(name: str, docs: DataFrame) -> str:
-    """``name``, led by as many underscores as no column of ``docs`` has."""
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name = f"_{name}"
-    return name
-
-
 def spans(docs: DataFrame, text: str = "text", name: str = "pii") -> DataFrame:
     """``docs`` with ``name``: array<struct<kind,start,end,score>>, by kind as listed, then start."""
     plain = F.coalesce(F.col(text), F.lit(""))
     out, names = docs, []
     for kind in KINDS:
-        names.append(_free(f"__pii_{kind}", docs))
+        names.append(free_name(f"__pii_{kind}", docs.columns))
         out = out.withColumn(names[-1], proposed(kind, plain))
     return out.withColumn(name, F.concat(*names)).drop(*names)
 
@@ -181,7 +175,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 def mask(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     """``docs`` with every span of at least ``least_score`` replaced by its kind in brackets (same columns, ``text`` changed; null stays null)."""
-    name = _free("pii", docs)
+    name = free_name("pii", docs.columns)
     found = spans(docs, name=name)
     chosen = F.array_sort(F.transform(F.filter(name, lambda s: s["score"] >= least_score), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 

@@ -355,3 +355,48 @@ def test_merkle_locates_edits():
 def test_luhn_and_mod97(spark):
     df = spark.createDataFrame([("4111111111111111", "DE89370400440532013000"), ("4111111111111112", "DE89370400440532013001")], "card string, iban string")
     assert [tuple(r) for r in df.select(pii.luhn(F.col("card")), pii.mod97(F.col("iban"))).collect()] == [(True, True), (False, False)]
+
+
+def test_items_with_null_and_string_ids(spark):
+    words = lambda a: " ".join(f"w{i}" for i in range(a, a + 12))
+    docs = spark.createDataFrame([(1, words(0)), (2, words(50)), (3, words(100) + " " + words(0))], "doc_id long, text string")
+    rows = [("b", words(0)), (None, words(50)), ("a", words(0)), (None, None)]
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"]) for r in decontaminate.report(docs, spark.createDataFrame(rows, "item_id string, text string")).collect()}
+    assert got == {1: (12, 2, decontaminate.digest(["a", "b"])), 2: (12, 1, decontaminate.digest([])), 3: (12, 2, decontaminate.digest(["a", "b"]))}
+
+
+def test_columns_named_like_inner_ones(spark):
+    rows = [(1, "a line that is long enough\nown", "x", "y", 0.5, "z"), (2, "a line that is long enough", "x", "y", 0.5, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __block string, __lang_pred string, __lang_score double, __pii_email string").withColumn("lang", F.lit("en"))
+    assert line_dedup.dedup(docs).columns == docs.columns and line_dedup.report(docs).count() == 2
+    assert {r["__block"] for r in line_dedup.dedup(docs).collect()} == {"x"}
+    assert [tuple(r) for r in language_id.keep_known(docs).orderBy("doc_id").collect()] == [(*r, "en") for r in rows]
+    assert pii.mask(docs).columns == docs.columns
+
+
+def test_blocks_are_dealt_evenly(spark):
+    from sieveworks.llm.blocks import BLOCK, into_blocks, labels
+
+    for n, split in ((1, 1), (4, 3), (51, 2), (211, 4)):
+        assert len(set(labels(n, split))) == n * split
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    rows = into_blocks(docs, "doc_id", split=3).groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct(BLOCK).alias("n")).collect()
+    assert sorted((r["p"], r["n"]) for r in rows) == [(i, 3) for i in range(4)]
+
+
+def test_roots_cover_whole_digests():
+    """Against a tree built anew from the leaves."""
+    import hashlib
+
+    h = lambda x: hashlib.blake2b(x, digest_size=16).hexdigest()
+    for text in ("", "one", "a\n\nb c d\n" + "word " * 200, "x" * 500 + "\n"):
+        sections, open_ = [], []
+        for leaf in merkle.leaves(text):
+            open_.append((h(leaf.encode()), len(leaf)))
+            if leaf == "\n" or int(open_[-1][0][:4], 16) % merkle.SECTION == 0:
+                sections.append(open_)
+                open_ = []
+        sections += [open_] * bool(open_)
+        names = [h(",".join(f"{x}.{n}" for x, n in s).encode()) for s in sections]
+        assert merkle.fingerprint(text).split("|")[0] == h("".join(names).encode())
+        assert "".join(merkle.leaves(text)) == text and merkle.likeness(merkle.fingerprint(text), merkle.fingerprint(text)) == 1.0

@@ -49,7 +49,7 @@ LONG = [
 ]
 
 
-@pytest.mark.parametrize("lead", ["", "a@b", "+1"])
+@pytest.mark.parametrize("lead", ["", "a@b"])
 def test_long_texts(spark, lead):
     """Against the shorter text's spans by ``re``, which is quadratic itself; every text of the list is a row."""
     for row, (unit, n, spans) in zip(found(spark, [lead + unit * n for unit, n, _ in LONG]), LONG, strict=True):
