@@ -188,40 +188,39 @@ def risk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edges of all orders. Of the SQL here only that of ``hot_files`` reads all of them (see README)."""
+    """The edges of all orders."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("src"), F.col("l_linenumber").alias("line"))
     after = li.select("l_orderkey", F.col("src").alias("dst"), (F.col("line") - 1).alias("line"))
     return li.join(after, ["l_orderkey", "line"]).select("src", "dst", F.col("l_orderkey").cast("string").alias("source"), "line")
 
 
-def edge_sql(every: int) -> str:
-    return f"""edges AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, a.l_orderkey::VARCHAR AS source, a.l_linenumber AS line
-      FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_orderkey % {every} = 0)"""
+EDGE_SQL = """edges AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, a.l_orderkey::VARCHAR AS source, a.l_linenumber AS line
+      FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)"""
 
 
-@query(f"WITH {edge_sql(20)} SELECT dst AS file, count(DISTINCT src) AS n, min(src) AS first FROM edges GROUP BY dst")
+@query(f"WITH {EDGE_SQL} SELECT dst AS file, count(DISTINCT src) AS n, min(src) AS first FROM edges GROUP BY dst")
 def importers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.importers(part_edges(spark, sf_dir)).select("file", F.size("importers").cast("long").alias("n"), F.element_at("importers", 1).alias("first"))
 
 
-@query(f"WITH {edge_sql(1)} SELECT dst AS file, count(DISTINCT src) AS imported_by FROM edges GROUP BY dst ORDER BY imported_by DESC, file LIMIT 10")
+@query(f"WITH {EDGE_SQL} SELECT dst AS file, count(DISTINCT src) AS imported_by FROM edges GROUP BY dst ORDER BY imported_by DESC, file LIMIT 10")
 def hot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.hot_files(part_edges(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {edge_sql(20)}, reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src) SELECT src, count(*) AS n, min(dst) AS least, max(dst) AS most FROM reach GROUP BY src")
+@query(f"WITH RECURSIVE {EDGE_SQL}, reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src) SELECT src, count(*) AS n, min(dst) AS least, max(dst) AS most FROM reach GROUP BY src")
 def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reach(part_edges(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {edge_sql(20)}, reach AS (SELECT src, dst FROM edges WHERE src % 50 = 0 UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src) SELECT src AS start, dst AS node FROM reach")
+@query(f"WITH RECURSIVE {EDGE_SQL}, reach AS (SELECT src, dst FROM edges WHERE src % 50 = 0 UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src) SELECT src AS start, dst AS node FROM reach")
 def reachable_from(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = part_edges(spark, sf_dir)
     starts = edges.where("src % 50 = 0").select(F.col("src").alias("node"))
     return graph.reachable(edges, starts)
 
 
-@query(f"""WITH RECURSIVE {edge_sql(20)}, reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src)
+@query(f"""WITH RECURSIVE {EDGE_SQL}, reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src)
     SELECT a.src AS node, least(min(a.dst), a.src) AS scc FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src""")
 def scc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cycle_members(part_edges(spark, sf_dir))
@@ -232,12 +231,12 @@ def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cycles(part_edges(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {edge_sql(20)}, goal AS (SELECT p_partkey AS node FROM part WHERE p_brand = 'Brand#11' OR p_size = 7),
-    walk AS (SELECT DISTINCT src AS start, src AS node, [src] AS path, 1 AS depth FROM edges WHERE src % 10 = 0
-             UNION SELECT w.start, e.dst, list_append(w.path, e.dst), w.depth + 1 FROM walk w JOIN edges e ON w.node = e.src
-             WHERE NOT list_contains(w.path, e.dst) AND w.depth < 9 AND w.node NOT IN (SELECT node FROM goal))
+@query(f"""WITH RECURSIVE {EDGE_SQL}, goal AS (SELECT p_partkey AS node FROM part WHERE p_brand = 'Brand#11' OR p_size = 7),
+    walk AS (SELECT DISTINCT src AS start, src AS node, [src] AS path FROM edges
+             UNION SELECT w.start, e.dst, list_append(w.path, e.dst) FROM walk w JOIN edges e ON w.node = e.src
+             WHERE NOT list_contains(w.path, e.dst) AND w.start NOT IN (SELECT start FROM walk WHERE node IN (SELECT node FROM goal)))
     SELECT start, path[-1] AS target, array_to_string(path, '>') AS path FROM (
-      SELECT start, path, row_number() OVER (PARTITION BY start ORDER BY len(path), path) AS place FROM walk WHERE node IN (SELECT node FROM goal) AND depth <= 8)
+      SELECT start, path, row_number() OVER (PARTITION BY start ORDER BY len(path), path) AS place FROM walk WHERE node IN (SELECT node FROM goal))
     WHERE place = 1""")
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = part_edges(spark, sf_dir)
@@ -247,15 +246,17 @@ def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ">"))
 
 
-@query(f"""WITH RECURSIVE {edge_sql(20)}, through AS (SELECT p_partkey AS file FROM part WHERE p_size <= 25),
+@query(f"""WITH RECURSIVE {EDGE_SQL}, through AS (SELECT p_partkey AS file FROM part WHERE p_size <= 25),
     goal AS (SELECT p_partkey AS file, CASE WHEN p_size % 5 = 0 THEN 'hint' ELSE 'rule' END AS confidence FROM part WHERE p_size % 5 < 2),
-    walk AS (SELECT src, source, line, dst AS entry, dst AS node, [src, dst] AS chain FROM edges WHERE src % 5 = 0
-             UNION SELECT w.src, w.source, w.line, w.entry, e.dst, list_append(w.chain, e.dst) FROM walk w JOIN edges e ON w.node = e.src
-             WHERE w.node IN (SELECT file FROM through) AND NOT list_contains(w.chain[2:], e.dst) AND len(w.chain) < 12),
-    shortest AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY src, source, line, entry, node ORDER BY len(chain), chain) = 1)
-    SELECT src AS source_file, node AS target_file, source AS import_source, line, confidence, len(chain)::BIGINT AS chain_length, len(chain) > 2 AS transparent
-    FROM shortest s JOIN goal g ON s.node = g.file
-    QUALIFY row_number() OVER (PARTITION BY src, node, source ORDER BY line, len(chain), chain) = 1""")
+    step AS (SELECT DISTINCT src, dst FROM edges WHERE src IN (SELECT file FROM through)),
+    walk(entry, node, way) USING KEY (entry, node) AS (
+      SELECT DISTINCT dst, dst, [dst] FROM edges WHERE src % 5 = 0
+      UNION SELECT w.entry, e.dst, min(list_append(w.way, e.dst)) FROM walk w JOIN step e ON w.node = e.src
+            LEFT JOIN recurring.walk r ON r.entry = w.entry AND r.node = e.dst WHERE r.entry IS NULL GROUP BY w.entry, e.dst),
+    found AS (SELECT i.src, w.node, i.source, i.line, g.confidence, len(w.way) + 1 AS chain_length, w.way
+              FROM walk w JOIN goal g ON w.node = g.file JOIN (SELECT DISTINCT src, source, line, dst FROM edges WHERE src % 5 = 0) i ON i.dst = w.entry)
+    SELECT src AS source_file, node AS target_file, source AS import_source, line, confidence, chain_length, chain_length > 2 AS transparent
+    FROM found QUALIFY row_number() OVER (PARTITION BY src, node, source ORDER BY line, chain_length, way) = 1""")
 def layer_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = part_edges(spark, sf_dir)
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
@@ -274,17 +275,15 @@ def module_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH members AS (
+    WITH RECURSIVE members AS (
       SELECT l_orderkey AS m, l_partkey % 40 AS ref, CASE WHEN l_linenumber = 1 THEN 'import' WHEN l_linenumber IN (2, 3) THEN 'export' WHEN l_linenumber < 6 THEN 'provider' ELSE 'need' END AS role
-      FROM lineitem WHERE l_orderkey <= 400),
-    imports AS (SELECT DISTINCT m, ref AS im FROM members WHERE role = 'import'),
-    given AS (SELECT m, ref AS dep FROM members WHERE role = 'export' INTERSECT SELECT m, ref FROM members WHERE role = 'provider')
-    SELECT DISTINCT n.m::VARCHAR AS module, n.ref::VARCHAR AS dep FROM members n WHERE role = 'need'
-      AND NOT EXISTS (SELECT 1 FROM members p WHERE p.role = 'provider' AND p.m = n.m AND p.ref = n.ref)
-      AND NOT EXISTS (WITH RECURSIVE seen AS (
-            SELECT im AS x FROM imports i WHERE i.m = n.m
-            UNION SELECT e.ref FROM seen s JOIN members e ON e.m = s.x AND e.role = 'export' WHERE e.ref IN (SELECT m FROM members))
-          SELECT 1 FROM seen s JOIN given g ON g.m = s.x WHERE g.dep = n.ref)""")
+      FROM lineitem),
+    given AS (SELECT m, ref AS dep FROM members WHERE role = 'export' INTERSECT SELECT m, ref FROM members WHERE role = 'provider'),
+    seen AS (SELECT m, ref AS x FROM members WHERE role = 'import'
+             UNION SELECT s.m, e.ref FROM seen s JOIN members e ON e.m = s.x AND e.role = 'export' WHERE e.ref IN (SELECT m FROM members))
+    SELECT m::VARCHAR AS module, ref::VARCHAR AS dep FROM members WHERE role = 'need'
+    EXCEPT SELECT m::VARCHAR, ref::VARCHAR FROM members WHERE role = 'provider'
+    EXCEPT SELECT s.m::VARCHAR, g.dep::VARCHAR FROM seen s JOIN given g ON g.m = s.x""")
 def missing_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     role = F.when(F.col("l_linenumber") == 1, "import").when(F.col("l_linenumber").isin(2, 3), "export").when(F.col("l_linenumber") < 6, "provider").otherwise("need")
@@ -293,7 +292,7 @@ def missing_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.unavailable_providers(needs, rows.where("role <> 'need'"), spark.createDataFrame([], "module string"))
 
 
-@query(f"""WITH {edge_sql(10)}, drilled AS (SELECT DISTINCT src AS component, source AS prop, dst AS child FROM edges WHERE src % 4 <> 0)
+@query(f"""WITH {EDGE_SQL}, drilled AS (SELECT DISTINCT src AS component, source AS prop, dst AS child FROM edges WHERE src % 4 <> 0)
     SELECT b.prop, b.component AS first, b.child AS second, c.child AS third FROM drilled b JOIN drilled c ON c.component = b.child AND c.prop = b.prop""")
 def prop_drilling(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = part_edges(spark, sf_dir)
@@ -330,26 +329,26 @@ def path_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 FILE_SQL = "files AS (SELECT p_brand || '/' || p_partkey || '.ts' AS path, p_partkey, p_brand FROM part)"
 
 
-@query(f"""WITH {edge_sql(20)}, {FILE_SQL}, n AS (SELECT dst, count(DISTINCT src) AS n FROM edges GROUP BY dst)
+@query(f"""WITH {EDGE_SQL}, {FILE_SQL}, n AS (SELECT dst, count(DISTINCT src) AS n FROM edges GROUP BY dst)
     SELECT p_brand AS dir, count(*) AS file_count, coalesce(max(n), 0) AS most_imported, arg_min(path, (-coalesce(n, 0), path)) AS first FROM files LEFT JOIN n ON dst = p_partkey GROUP BY p_brand""")
 def repo_map_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = context.directories(part_files(spark, sf_dir), path_edges(spark, sf_dir))
     return found.select("dir", "file_count", "most_imported", F.element_at("files", 1)["path"].alias("first"))
 
 
-@query(f"WITH {edge_sql(20)}, {FILE_SQL} SELECT path FROM files WHERE p_partkey NOT IN (SELECT dst FROM edges)")
+@query(f"WITH {EDGE_SQL}, {FILE_SQL} SELECT path FROM files WHERE p_partkey NOT IN (SELECT dst FROM edges)")
 def entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.entry_points(part_files(spark, sf_dir), path_edges(spark, sf_dir))
 
 
-@query(f"WITH {edge_sql(20)}, {FILE_SQL} SELECT path FROM files WHERE p_partkey NOT IN (SELECT dst FROM edges UNION SELECT src FROM edges)")
+@query(f"WITH {EDGE_SQL}, {FILE_SQL} SELECT path FROM files WHERE p_partkey NOT IN (SELECT dst FROM edges UNION SELECT src FROM edges)")
 def unused_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = path_edges(spark, sf_dir)
     linked = e.select(F.col("src").alias("path")).union(e.select("dst")).distinct()
     return part_files(spark, sf_dir).select("path").join(linked, "path", "left_anti")
 
 
-@query("SELECT p_partkey, p_brand AS name FROM part WHERE p_size > 10 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_orderkey % 20 = 0)")
+@query("SELECT p_partkey, p_brand AS name FROM part WHERE p_size > 10 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A')")
 def unused_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     defs = table(spark, sf_dir, "part").where("p_size > 10").select("p_partkey", F.col("p_brand").alias("name"))
     calls = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select(F.col("l_partkey").alias("p_partkey")).distinct()
@@ -372,7 +371,7 @@ def dependency_advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT d.l_orderkey::VARCHAR AS file, d.l_linenumber::VARCHAR AS name, string_agg(c.l_partkey::VARCHAR, ',' ORDER BY c.l_linenumber, c.l_partkey::VARCHAR) AS callees
-    FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) d JOIN (SELECT l_orderkey, l_partkey, min(l_linenumber) AS l_linenumber FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY ALL) c
+    FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) d JOIN (SELECT l_orderkey, l_partkey, min(l_linenumber) AS l_linenumber FROM lineitem GROUP BY ALL) c
       ON c.l_orderkey = d.l_orderkey AND c.l_linenumber BETWEEN d.l_linenumber AND d.l_linenumber + 2
     WHERE d.l_linenumber = 1 GROUP BY ALL""")
 def callees_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -398,7 +397,7 @@ def adjacent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     WITH RECURSIVE s AS (
-      SELECT l_orderkey AS fn, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)::INT AS idx, l_partkey % 6 AS target, l_suppkey % 6 AS reads, l_returnflag = 'A' AS is_source, l_linestatus = 'F' AS is_sink FROM lineitem WHERE l_orderkey % 5 = 0),
+      SELECT l_orderkey AS fn, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)::INT AS idx, l_partkey % 6 AS target, l_suppkey % 6 AS reads, l_returnflag = 'A' AS is_source, l_linestatus = 'F' AS is_sink FROM lineitem),
     walk AS (
       SELECT fn, 0 AS idx, []::BIGINT[] AS tainted, false AS hit FROM (SELECT DISTINCT fn FROM s)
       UNION ALL
