@@ -92,19 +92,20 @@ def summary(findings: DataFrame, file_count: int) -> dict:
     return {"total": row["total"], "counts": by_level, "score": row["score"], "top_files": [{"file": r["file"], "count": r["n"]} for r in top_files(findings).collect()]}
 
 
-def as_json(findings: DataFrame, file_count: int, most: int = 10_000) -> str:
-    """The report as JSON; at most ``most`` findings come to the driver (write the relation itself for more)."""
-    rows = [json.loads(r) for r in ordered(findings).limit(most).select(F.to_json(F.struct(*[c for c in findings.columns if c != "analyzer_seq"]))).toPandas().iloc[:, 0]]
+def as_json(findings: DataFrame, file_count: int) -> str:
+    """The report of all findings as one JSON text, row by row from the executors (for very many, write the relation itself)."""
+    told = ordered(findings).select(F.to_json(F.struct(*[c for c in findings.columns if c != "analyzer_seq"])))
+    rows = [json.loads(r[0]) for r in told.toLocalIterator()]
     return json.dumps({"findings": rows, "summary": summary(findings, file_count)}, indent=2, ensure_ascii=False)
 
 
-def as_text(findings: DataFrame, file_count: int, most: int = 1000) -> str:
-    """The report for a terminal."""
+def as_text(findings: DataFrame, file_count: int) -> str:
+    """The report of all findings for a terminal."""
     told = summary(findings, file_count)
     out = [f"Health {told['score']}/100, findings: {told['total']}"]
     out += [f"  {level}: {n}" for level, n in sorted(told["counts"].items())]
     out += ["Hotspots:"] * bool(told["top_files"]) + [f"  {x['file']} ({x['count']})" for x in told["top_files"]]
-    for r in ordered(findings).limit(most).collect():
+    for r in ordered(findings).toLocalIterator():
         tag = f"{r['level']}/{r['category']}" if r["category"] else r["level"]
         hint = " hint" if r["confidence"] == "hint" else ""
         place = f"{r['file']}:{r['line']}" if r["line"] else r["file"] or "-"

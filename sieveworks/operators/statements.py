@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,24 +51,35 @@ def tainted_sinks(statements: DataFrame) -> DataFrame:
 
     statements: fn, idx, line, target (assigned variable or null), is_source,
     reads array<string>, sink (kind or null). In order of idx a source taints the
-    target and so does reading a tainted variable; nothing cleans a variable. A
-    function is walked in one task and is as long as its source text.
+    target and so does reading a tainted variable; nothing cleans a variable.
+    Functions are sorted within their partition and streamed through in Arrow
+    batches: a task holds the tainted variables of one function at a time.
     """
-    ship(statements.sparkSession)
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        origin: dict[str, int] = {}
-        out = []
-        for r in rows.sort_values("idx").itertuples():
-            lines = [origin[x] for x in (r.reads if r.reads is not None else []) if x in origin]
-            came = int(r.line) if r.is_source else min(lines) if lines else None
-            if r.sink is not None and came is not None:
-                out.append((r.fn, int(r.line), r.sink, came))
-            if r.target is not None and came is not None:
-                origin.setdefault(r.target, came)
-        return pd.DataFrame(out, columns=["fn", "line", "sink", "source_line"])
-
-    return statements.groupBy("fn").applyInPandas(walk, "fn string, line int, sink string, source_line int")
+    spark = statements.sparkSession
+    ship(spark)
+    schema = pa.schema([("fn", pa.string()), ("line", pa.int32()), ("sink", pa.string()), ("source_line", pa.int32())])
+    columns = ["fn", "line", "target", "is_source", "reads", "sink"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, origin = None, {}
+        for batch in batches:
+            out = []
+            for fn, line, target, is_source, reads, sink in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if fn != current:
+                    current, origin = fn, {}
+                lines = [origin[x] for x in reads or () if x in origin]
+                came = line if is_source else min(lines) if lines else None
+                if came is None:
+                    continue
+                if sink is not None:
+                    out.append((fn, line, sink, came))
+                if target is not None:
+                    origin.setdefault(target, came)
+            yield pa.RecordBatch.from_pydict({k: [x[i] for x in out] for i, k in enumerate(schema.names)}, schema)
+
+    rows = statements.select("fn", "idx", F.col("line").cast("int").alias("line"), "target", "is_source", "reads", "sink")
+    dealt = rows.repartition("fn").sortWithinPartitions("fn", "idx").select(*columns)
+    return dealt.mapInArrow(walk, "fn string, line int, sink string, source_line int")
 
 
 #: Kinds of sinks in the order in which they are tried, with what their callee looks like.

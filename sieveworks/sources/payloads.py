@@ -164,7 +164,7 @@ def component_lint(payloads: DataFrame) -> DataFrame:
 
 
 #: Notices that part of an analysis did not run.
-NOTICES = ("toolchain-not-installed", "type-check-skipped", "type-check-output-unparsed", "type-aware-skipped", "type-aware-lint-failed", "dead-code-skipped", "dead-code-failed", "rules-registry-unavailable")
+NOTICES = ("toolchain-not-installed", "type-check-skipped", "type-check-output-unparsed", "type-aware-skipped", "type-aware-lint-failed", "dead-code-skipped", "dead-code-failed", "semgrep-registry-unavailable")
 
 
 def notices(spark, rows: Sequence[tuple[str, str, str]]) -> DataFrame:

@@ -52,3 +52,10 @@ def test_text_and_json(spark):
     df = made(spark, [("a", "error", "f", 3)])
     assert "Health 95/100" in report.as_text(df, 10)
     assert json.loads(report.as_json(df, 10))["summary"]["top_files"] == [{"file": "f", "count": 1}]
+
+
+def test_reports_hold_every_finding(spark):
+    n = 1500
+    raw = spark.range(n).select(F.lit("r").alias("rule"), F.concat(F.lit("f"), "id").alias("path"))
+    df = findings(raw, "a", F.col("rule"), F.lit("error"), F.lit("bug"), F.lit("m"), "path", F.lit(1))
+    assert len(json.loads(report.as_json(df, 10))["findings"]) == n and report.as_text(df, 10).count("[error/bug]") == n

@@ -43,6 +43,9 @@ def test_aliases_most_specific_first(spark):
     aliases = spark.createDataFrame([("@/", "", "src/*", 0), ("@/ui/", "", "lib/*", 0)], "prefix string, suffix string, base string, order int")
     imports = spark.createDataFrame([("a.ts", "@/ui/x", 1)], "file string, source string, line int")
     assert resolve.aliased(imports, aliases, files).first()["target"] == "lib/x.ts"
+    bare = spark.createDataFrame([("", "", "src/*", 0), ("@/", "", "lib/*", 0)], "prefix string, suffix string, base string, order int")
+    more = spark.createDataFrame([("a.ts", s, i) for i, s in enumerate(("ui/x", "@/x", "gone"))], "file string, source string, line int")
+    assert {(r["source"], r["target"]) for r in resolve.aliased(more, bare, files).collect()} == {("ui/x", "src/ui/x.ts"), ("@/x", "lib/x.ts")}
 
 
 def test_nearest_config_and_major(spark):
