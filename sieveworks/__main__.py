@@ -11,8 +11,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from sieveworks.operators import context, report
+from sieveworks.plans.patterns import load_rules
 from sieveworks.plans.scan import Corpus, scan
 from sieveworks.sources import files as sources
+from sieveworks.sources import payloads
 
 
 def _session() -> SparkSession:
@@ -29,7 +31,9 @@ def run_scan(args: argparse.Namespace) -> int:
     spark = _session()
     changed = sources.changed(spark.read.text(args.status), deletions=True) if args.status else None
     commits = sources.commits(spark.read.text(args.log)) if args.log else None
-    corpus = Corpus(sources.files(spark, args.path), commits, changed)
+    rules = [rule for folder in args.rules for rule in load_rules(folder)]
+    reports = payloads.reports(spark, [tuple(r.split("=", 1)) for r in args.report]) if args.report else None
+    corpus = Corpus(sources.files(spark, args.path), commits, changed, code_rules=rules, reports=reports)
     found = scan(corpus).cache()
     as_json = args.json or not sys.stdout.isatty()
     print((report.as_json if as_json else report.as_text)(found, corpus.file_count))
@@ -79,6 +83,8 @@ def main(argv: list[str] | None = None) -> int:
     one.add_argument("--json", action="store_true")
     one.add_argument("--status", help="file with the short status of changed files: scan these only")
     one.add_argument("--log", help="file with commits as JSON lines: sha, message, files")
+    one.add_argument("--rules", action="append", default=[], metavar="FOLDER", help="folder of YAML rules of code patterns; may be given again")
+    one.add_argument("--report", action="append", default=[], metavar="TOOL=FILE", help=f"another tool's output, of {', '.join(payloads.READERS)}; may be given again")
     one.set_defaults(run=run_scan)
     one = commands.add_parser("context", help="a repository's map, or a file's or symbol's surroundings")
     one.add_argument("path")

@@ -163,6 +163,23 @@ def component_lint(payloads: DataFrame) -> DataFrame:
     return findings(m, "component-lint", F.col("rule"), F.col("level"), kind, F.col("message"), "file", F.col("line"))
 
 
+#: Normalisers by the name under which a report is handed in.
+READERS = {
+    "patterns": pattern_matcher, "advisories": advisories, "linter": linter, "dead-code": dead_code,
+    "compiler": compiler, "typed-lint": typed_lint, "style-lint": style_lint, "component-lint": component_lint,
+}
+
+
+def reports(spark, named: Sequence[tuple[str, str]]) -> DataFrame:
+    """(tool, payload) of report files given as (tool, path); each file is one payload."""
+    out = spark.createDataFrame([], "tool string, payload string")
+    for tool, path in named:
+        if tool not in READERS:
+            raise ValueError(f"no reader for reports of {tool!r}; there are {', '.join(READERS)}")
+        out = out.unionByName(spark.read.text(path, wholetext=True).select(F.lit(tool).alias("tool"), F.col("value").alias("payload")))
+    return out
+
+
 #: Notices that part of an analysis did not run.
 NOTICES = ("toolchain-not-installed", "type-check-skipped", "type-check-output-unparsed", "type-aware-skipped", "type-aware-lint-failed", "dead-code-skipped", "dead-code-failed", "semgrep-registry-unavailable")
 
