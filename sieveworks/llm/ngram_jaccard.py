@@ -49,6 +49,8 @@ BROADCAST_ROWS = 1_000_000
 BLOCK = 2048
 TASK_ROWS = 20_000
 HUB_BANDS = 128
+#: Partners of a set that one task verifies.
+PARTNERS = 256
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -207,34 +209,42 @@ def memberships(packed: DataFrame, shards: int) -> DataFrame:
     return packed.repartitionById(shards, F.col("shard")).select("keys", "nodes").mapInArrow(run, "key long, node long")
 
 
-def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets that are linked, by the words of one text of each."""
+def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, share: int = SHARE) -> DataFrame:
+    """The pairs (a, b) of sets of which ``share`` of a hundred shingles are common, by the words of one text of each.
+
+    A set b with many partners is dealt to several tasks: each has its text once,
+    before the texts of its part of the partners.
+    """
     ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known.select("node", "doc"), "node"), "candidates")
     small = ids.count() <= BROADCAST_ROWS
     wanted = F.broadcast(ids) if small else ids
     # rows of one id may differ: only the row whose set is the node stands for it
     texts = sets_with_text(docs.join(wanted.withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "text", "node"))
     texts = saved(texts, "texts")
-    a, b = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    rows = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
+    size = pairs.groupBy("b").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
+    split = pairs.select("a", "b").join(size, "b").withColumn("part", F.pmod(F.xxhash64("a"), "parts"))
+    hubs = size.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    left = split.join(texts.withColumnRenamed("node", "a"), "a").select("b", "part", "a", "text")
+    right = hubs.join(texts.withColumnRenamed("node", "b"), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "text")
 
     def of(text: bytes) -> set:
         w = words_of(text)
         return set(zip(*(w[i:] for i in range(SHINGLE)), strict=False)) if len(w) >= SHINGLE else {tuple(w)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, set] = (None, set())
+        own: set = set()
         for batch in batches:
             good = []
-            for hub, left, right in zip(batch.column("b").to_pylist(), texts_of(batch, "text_a"), texts_of(batch, "text_b"), strict=True):
-                if last[0] != hub:
-                    last = hub, of(right)
-                x = of(left)
-                both = len(x & last[1])
-                good.append(WHOLE * both >= SHARE * (len(x) + len(last[1]) - both))
+            for a, text in zip(batch.column("a").to_pylist(), texts_of(batch), strict=True):
+                x = of(text)
+                if a is None:
+                    own = x
+                both = len(x & own)
+                good.append(a is not None and WHOLE * both >= share * (len(x) + len(own) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return rows.mapInArrow(run, "a long, b long")
+    dealt = left.unionByName(right).repartition(partitions(docs.sparkSession), "b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+    return dealt.select("b", "a", "text").mapInArrow(run, "a long, b long")
 
 
 def sets_with_text(rows: DataFrame) -> DataFrame:
@@ -394,7 +404,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest ``doc_id`` (all rows of it that have its text)."""
+    """``docs`` with one document of each component: that of the smallest ``doc_id``, in all rows of that id. Rows without an id stay."""
     found = clusters(docs).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(found, docs["doc_id"].cast("long") == found["doc_id"], "left_semi")
     return kept.unionByName(docs.where("doc_id IS NULL"))
