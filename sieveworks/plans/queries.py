@@ -17,8 +17,9 @@ from sieveworks.functions.paths import ancestors
 from sieveworks.operators import context, coverage, gates, graph, report, statements, thresholds
 from sieveworks.plans.rules import EXAMPLE_RULES, RegexRule, matches
 from sieveworks.plans.schema import findings
+from sieveworks.session import saved
+from sieveworks.sources import declarations, payloads, tokens
 from sieveworks.sources import files as sources
-from sieveworks.sources import payloads
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -526,6 +527,76 @@ def pages_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.groupBy(F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("host")).agg(F.count("*").alias("n"))
 
 
+# --- source text, written from the tables: one controller and one router file for each order
+
+
+def order_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): ``<order>.ts``, a controller with a method of six lines or more for each line item, and ``<order>.js`` with a route for each."""
+    # line numbers repeat, so an order's items are numbered anew
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_returnflag", "l_linestatus", "l_suppkey"))
+    item = table(spark, sf_dir, "lineitem").select("l_orderkey", place.alias("l_linenumber"), "l_returnflag", "l_linestatus", "l_suppkey")
+    n, a = F.col("l_linenumber").cast("string"), F.col("l_returnflag")
+    verb = F.when(F.col("l_linestatus") == "F", "Post").otherwise("Get")
+    method = F.concat(
+        F.when(a == "A", "  @UseGuards(JwtAuthGuard)\n").when((a == "R") & (F.col("l_linenumber") % 2 == 0), "  @Public()\n").otherwise(""),
+        F.when(F.col("l_suppkey") % 3 == 0, "  @UsePipes(ValidationPipe)\n").otherwise(""),
+        F.lit("  @"), verb, F.lit("('"), n, F.lit("')\n  async m"), n, F.when(F.col("l_linestatus") == "F", "(@Body() b: Dto").otherwise("(id: string"),
+        F.lit("): Promise<R> {\n    if (a[0] > '}'.length) {\n      return { id: [1, (2)] };\n    }\n  }\n"),
+    )
+    route = F.concat(F.lit("app."), F.lower(verb), F.lit("('/"), n, F.lit("', "), F.when(a == "A", "requireAuth, ").when(a == "R", "limit('x'), ").otherwise(""), F.lit("(q, s) => { s.send(q); });\n"))
+    whole = item.groupBy("l_orderkey").agg(*(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", text.alias("text")))), lambda x: x["text"]), "").alias(name) for name, text in (("methods", method), ("routes", route))))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
+    key = F.col("l_orderkey").cast("string")
+    head = F.concat(F.lit("/* { */\n@Controller('o"), key, F.lit("')\n"), F.when(F.col("o_orderstatus") == "P", "@UseGuards(JwtAuthGuard)\n").otherwise(""), F.lit("export class C"), key, F.lit(" {\n"))
+    both = F.array(F.struct(F.concat(key, F.lit(".ts")).alias("path"), F.concat(head, "methods", F.lit("}\n")).alias("content")), F.struct(F.concat(key, F.lit(".js")).alias("path"), F.col("routes").alias("content")))
+    return whole.join(orders, "l_orderkey").select(F.inline(both))
+
+
+#: Of each line item: the first line of its method, whether it is guarded, open by choice, validated, and takes a body.
+SOURCE_SQL = """numbered AS (
+      SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_linestatus, l_suppkey) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+    ), items AS (
+      SELECT l_orderkey AS k, n, o_orderstatus = 'P' AS outer_guard, l_returnflag = 'A' AS guard, l_returnflag = 'R' AND n % 2 = 0 AS open,
+             l_suppkey % 3 = 0 AS valid, l_linestatus = 'F' AS body,
+             6 + (l_returnflag = 'A' OR (l_returnflag = 'R' AND n % 2 = 0))::INT + (l_suppkey % 3 = 0)::INT AS height
+      FROM numbered
+    ), placed AS (
+      SELECT *, (3 + outer_guard::INT + sum(height) OVER (PARTITION BY k ORDER BY n) - 4)::INT AS line FROM items
+    )"""
+
+
+@query(f"""WITH {SOURCE_SQL}
+    SELECT k || '.ts' AS file, 'class' AS kind, 'C' || k AS name, (3 + any_value(outer_guard)::INT)::INT AS line, (3 + any_value(outer_guard)::INT + sum(height) + 1)::INT AS end_line, 0 AS around FROM placed GROUP BY k
+    UNION ALL SELECT k || '.ts', 'method', 'm' || n, line, line + 4, 1 FROM placed
+    UNION ALL SELECT k || '.ts', 'control', NULL, line + 1, line + 3, 2 FROM placed
+    UNION ALL SELECT k || '.ts', 'object', NULL, line + 2, line + 2, 3 FROM placed
+    UNION ALL SELECT k || '.js', 'arrow', NULL, row_number() OVER (PARTITION BY k ORDER BY n)::INT, row_number() OVER (PARTITION BY k ORDER BY n)::INT, 0 FROM placed""")
+def token_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scopes of the written sources, with the number of scopes around each."""
+    found = tokens.Source(saved(order_sources(spark, sf_dir), "sources")).scopes
+    places = found.select("path", F.col("open").alias("idx"))
+    around = tokens.enclosing(places, found.select("path", "open", "close")).groupBy("path", F.col("idx").alias("open")).agg(F.count("*").alias("around"))
+    return found.join(around, ["path", "open"], "left").select(F.col("path").alias("file"), "kind", "name", "line", "end_line", F.coalesce("around", F.lit(0)).cast("int").alias("around"))
+
+
+@query(f"""WITH {SOURCE_SQL}, nest AS (
+      SELECT *, max(outer_guard OR guard) FILTER (WHERE NOT open) OVER (PARTITION BY k) AS sibling FROM placed
+    ), routes AS (
+      SELECT *, max(guard) OVER (PARTITION BY k) AS sibling_route, row_number() OVER (PARTITION BY k ORDER BY n)::INT AS row FROM placed
+    )
+    SELECT 'nestjs.missing-auth-guard' AS rule_id, k || '.ts' AS file, 'm' || n AS handler, CASE WHEN body THEN 'POST' ELSE 'GET' END || ' /o' || k || '/' || n AS route, line
+    FROM nest WHERE sibling AND NOT open AND NOT (outer_guard OR guard)
+    UNION ALL SELECT 'express.missing-auth-middleware', k || '.js', 'expressRoute', CASE WHEN body THEN 'POST' ELSE 'GET' END || ' /' || n, row FROM routes WHERE sibling_route AND NOT guard
+    UNION ALL SELECT 'nestjs.nestjs-missing-validation-pipe', k || '.ts', 'm' || n, CASE WHEN body THEN 'POST' ELSE 'GET' END || ' /o' || k || '/' || n, line FROM placed WHERE body AND NOT valid""")
+def endpoint_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Endpoints of the written sources that lack a policy their neighbours have, or the validation of their body."""
+    found = saved(declarations.endpoints(tokens.Source(saved(order_sources(spark, sf_dir), "sources"))), "endpoints")
+    open_ = [coverage.uncovered(found, rule) for rule in coverage.ENDPOINT_RULES]
+    bodies = coverage.unvalidated(found, "nestjs").withColumn("rule_id", F.lit(coverage.BODY_RULE))
+    columns = ["rule_id", "file", "handler", "route", "line"]
+    return open_[0].select(columns).unionByName(open_[1].select(columns)).unionByName(bodies.select(columns))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole report: findings of all engines in order."""
     return report.ordered(all_findings(spark, sf_dir))
