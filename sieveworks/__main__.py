@@ -17,12 +17,25 @@ from sieveworks.sources import files as sources
 from sieveworks.sources import payloads
 
 
+#: Bytes of source text for each shuffle partition.
+PARTITION_BYTES = 4 << 20
+
+
 def _session() -> SparkSession:
     spark = SparkSession.builder.appName("sieveworks").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def _corpus(args: argparse.Namespace, *more, **known) -> Corpus:
+    """The files of a folder, with as many shuffle partitions as their size calls for: a loop's rounds cost as much as their tasks."""
+    spark = _session()
+    files = sources.files(spark, args.path)
+    size = files.agg(F.sum("n_bytes")).first()[0] or 0
+    spark.conf.set("spark.sql.shuffle.partitions", str(max(4, -(-size // PARTITION_BYTES))))
+    return Corpus(files, *more, **known)
+
+
 def _rows(df) -> list[dict]:
     return [json.loads(x) for x in df.select(F.to_json(F.struct(*df.columns))).toPandas().iloc[:, 0]]
 
@@ -33,7 +46,7 @@ def run_scan(args: argparse.Namespace) -> int:
     commits = sources.commits(spark.read.text(args.log)) if args.log else None
     rules = [rule for folder in args.rules for rule in load_rules(folder)]
     reports = payloads.reports(spark, [tuple(r.split("=", 1)) for r in args.report]) if args.report else None
-    corpus = Corpus(sources.files(spark, args.path), commits, changed, code_rules=rules, reports=reports)
+    corpus = _corpus(args, commits, changed, code_rules=rules, reports=reports)
     found = scan(corpus).cache()
     as_json = args.json or not sys.stdout.isatty()
     print((report.as_json if as_json else report.as_text)(found, corpus.file_count))
@@ -41,7 +54,7 @@ def run_scan(args: argparse.Namespace) -> int:
 
 
 def run_context(args: argparse.Namespace) -> int:
-    corpus = Corpus(sources.files(_session(), args.path))
+    corpus = _corpus(args)
     f, edges = corpus.facts, corpus.facts.edges()
     if not args.target:
         hot = _rows(context.imported_by(edges).orderBy(F.col("imported_by").desc(), "file").limit(10))
@@ -53,10 +66,17 @@ def run_context(args: argparse.Namespace) -> int:
     if kind == "file":
         out |= {"imports": _rows(f.imports().where(F.col("file") == file)), "imported_by": _rows(context.importers(edges).where(F.col("file") == file)), "defs": _rows(f.defs().where(F.col("file") == file))}
     else:
-        from sieveworks.operators.graph import closure
+        from sieveworks.operators.graph import reachable
 
         defs = context.definitions(f.defs(), symbol, file)
-        out |= {"definitions": _rows(defs), "callees": _rows(context.callees(defs, f.calls())), "callers": _rows(context.callers(defs, f.calls(), f.bindings(), closure(edges), f.default_exports()))}
+        # only what is reached from files that name the symbol, and from what those import
+        node = lambda rows, column="file": rows.select(F.col(column).alias("node"))
+        near = node(f.calls().where(F.col("name") == symbol)).distinct()
+        bound = f.bindings().where("target IS NOT NULL")
+        starts = near.unionByName(node(bound.join(near.withColumnRenamed("node", "file"), "file", "left_semi"), "target"))
+        starts = starts.unionByName(node(bound.where(F.col("imported") == symbol), "target")).unionByName(node(f.default_exports().where(F.col("name") == symbol)))
+        reach = reachable(edges, starts.distinct()).toDF("src", "dst")
+        out |= {"definitions": _rows(defs), "callees": _rows(context.callees(defs, f.calls())), "callers": _rows(context.callers(defs, f.calls(), f.bindings(), reach, f.default_exports()))}
     print(json.dumps(out, indent=2))
     return 0
 

@@ -17,6 +17,7 @@ from sieveworks.functions.paths import ancestors
 from sieveworks.operators import context, coverage, gates, graph, report, statements, thresholds
 from sieveworks.plans.rules import EXAMPLE_RULES, RegexRule, matches
 from sieveworks.plans.schema import findings
+from sieveworks.plans.shipped import SHIPPED
 from sieveworks.session import saved
 from sieveworks.sources import declarations, payloads, tokens
 from sieveworks.sources import files as sources
@@ -269,9 +270,11 @@ def layer_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def module_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = part_edges(spark, sf_dir)
+    """Each customer's orders are a project: what a line item's part imports is the part of the next line."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("source"), F.col("o_custkey").cast("string").alias("project"))
+    e = part_edges(spark, sf_dir).join(orders, "source")
     name = lambda c: F.lpad(F.col(c).cast("string"), 8, "0")
-    rows = e.select(F.lit("all").alias("project"), name("src").alias("module"), name("dst").alias("imported"), (F.col("dst") % 11 == 0).alias("forward_ref"), (F.col("src") % 13 == 0).alias("unknown"))
+    rows = e.select("project", name("src").alias("module"), name("dst").alias("imported"), (F.col("dst") % 11 == 0).alias("forward_ref"), (F.col("src") % 13 == 0).alias("unknown"))
     return graph.circular_modules(rows)
 
 
@@ -442,6 +445,25 @@ def markup_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("rule_id", "file").agg(F.count("*").alias("n"))
 
 
+#: One line of a written source for each shipped rule, in the order of the rules.
+OFFENDERS = (
+    "import { faker } from '@faker-js/faker';", "fetch('x');", "x(); // TODO: implement", "const r = /(a+)+/;", "y(); // @ts-ignore",
+    "z.string({ errorMap: f });", "import X from 'react-native/Libraries/X';", "import { S } from '@react-navigation/stack';", "const { a, ...rest } = useQuery({});",
+)
+
+
+@query(f"""WITH rules AS (SELECT unnest({[r.id for r in SHIPPED]}) AS rule_id, unnest(range({len(SHIPPED)})) AS k)
+    SELECT rule_id, 'src/api/' || conv_id || '.ts' AS file, line FROM rules JOIN (
+      SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS line FROM conversations) ON k = turn % {len(SHIPPED)}""")
+def shipped_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shipped rules over one source for each conversation, with a line that one of them forbids for each turn."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    text = F.element_at(F.array(*map(F.lit, OFFENDERS)), (F.col("turn") % len(OFFENDERS) + 1).cast("int"))
+    files = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", text.alias("text")))), lambda x: x["text"]), "\n").alias("content"))
+    files = files.select(F.concat(F.lit("src/api/"), F.col("conv_id").cast("string"), F.lit(".ts")).alias("path"), "content")
+    return matches(files, SHIPPED, by_line=False).select("rule_id", "file", "line")
+
+
 FINDINGS_SQL = f"""
     {ENTITY_SQL}, {DUPLICATION_SQL},
     findings AS (
