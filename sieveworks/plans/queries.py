@@ -19,7 +19,7 @@ from sieveworks.plans.rules import EXAMPLE_RULES, RegexRule, matches
 from sieveworks.plans.schema import findings
 from sieveworks.plans.shipped import SHIPPED
 from sieveworks.session import saved
-from sieveworks.sources import declarations, payloads, tokens
+from sieveworks.sources import declarations, hooks, payloads, tokens
 from sieveworks.sources import files as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -619,6 +619,35 @@ def endpoint_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return open_[0].select(columns).unionByName(open_[1].select(columns)).unionByName(bodies.select(columns))
 
 
+def order_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): for each order a component with a state and an effect for each line item.
+
+    The effect depends on its state, unless the item was returned, and sets the next state, if its line is finished.
+    """
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_returnflag", "l_linestatus"))
+    item = table(spark, sf_dir, "lineitem").select("l_orderkey", place.alias("n"), "l_returnflag", "l_linestatus")
+    n, next_ = F.col("n").cast("string"), (F.col("n") + 1).cast("string")
+    state = F.concat(F.lit("  const [s"), n, F.lit(", setS"), n, F.lit("] = useState(0);\n"))
+    effect = F.concat(F.lit("  useEffect(() => { if (a[0]) { "), F.when(F.col("l_linestatus") == "F", F.concat(F.lit("setS"), next_, F.lit("(1);"))).otherwise("log('setS1(1)');"), F.lit(" } }, ["), F.when(F.col("l_returnflag") != "R", F.concat(F.lit("s"), n)).otherwise(""), F.lit("]);\n"))
+    lines = lambda text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", text.alias("text")))), lambda x: x["text"]), "")
+    whole = item.groupBy("l_orderkey").agg(lines(state).alias("states"), lines(effect).alias("effects"))
+    key = F.col("l_orderkey").cast("string")
+    return whole.select(F.concat(key, F.lit(".tsx")).alias("path"), F.concat(F.lit("export function C"), key, F.lit("({ a }) {\n"), "states", "effects", F.lit("  return null;\n}\n")).alias("content"))
+
+
+@query("""
+    WITH items AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_linestatus) AS n, l_returnflag <> 'R' AS fed, l_linestatus = 'F' AS feeds,
+                          count(*) OVER (PARTITION BY l_orderkey) AS total FROM lineitem)
+    SELECT a.k || '.tsx' AS file, (a.n + a.total + 1)::INT AS line FROM items a JOIN items b ON a.k = b.k AND b.n = a.n - 1 JOIN items c ON a.k = c.k AND c.n = a.n + 1
+    WHERE a.total >= 3 AND b.feeds AND a.fed AND a.feeds AND c.fed""")
+def effect_chains_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Effects of the written components that another's state change sets off and that set off another."""
+    h = hooks.Hooks(tokens.Source(saved(order_components(spark, sf_dir), "sources")))
+    key = lambda rows: rows.withColumn("component", F.concat_ws(":", "path", "component"))
+    found = graph.effect_chains(key(h.effects), key(h.sets()), key(h.deps()))
+    return key(h.effects).join(found, ["component", "effect"]).select(F.col("path").alias("file"), "line")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole report: findings of all engines in order."""
     return report.ordered(all_findings(spark, sf_dir))
