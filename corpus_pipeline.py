@@ -1,7 +1,10 @@
 """A corpus pipeline of five stages over ``documents``: each takes (spark, docs, sf_dir) and returns a DataFrame.
 
 Every stage's result is written as Parquet to the shared folder and read again as
-the next one's input. All but the last return the columns of ``documents``.
+the next one's input. All but the last return the columns of ``documents``, more
+columns of any name included. In every stage a null text counts as empty, rows of
+one id are judged each by its text, rows without an id never stand for others, and
+empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -18,17 +21,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document holds go; the document stays, with what is left of it."""
+    """Lines of ten letters or more that a document of smaller id holds go; the document stays, with what is left of it. Of equal ids none is earlier."""
     return line_dedup.dedup(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that of the smallest doc_id."""
+    """One document of each group of near duplicates stays: that of the smallest doc_id, in all of its rows. Rows without an id stay."""
     return ngram_jaccard.one_of_each(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of benchmark items go; documents that mostly consist of them go whole."""
+    """Passages of benchmark items go; documents of which they are more than half of the words go whole. Null items have no passage."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -47,7 +50,7 @@ STAGES = [
     ("byte_bpe", tokens),
 ]
 
-#: Trained networks and BPE ids are beyond SQL; tests hold the stages against brute force.
+#: Trained networks and BPE ids are beyond SQL; a test holds each stage against brute force on its own input.
 ORACLE_SQL = None
 
 
