@@ -5,8 +5,9 @@ Bands of ROWS minima are the keys under which sets meet; of the minima themselve
 only the low BITS bits are kept, packed into one signature. Of two sets that meet,
 the fields that agree are counted in the xor of the signatures by bit counts: a
 share of 1 / 2^BITS agrees by chance, which the similarity is corrected for. Pairs
-whose estimate is too low for a link are dropped, the others are confirmed on their
-full sets.
+whose estimate is too low for a link are dropped, and so are those whose parity
+sketches differ in more bits than linked sets may in shingles, which never drops a
+link; the others are confirmed on their full sets.
 
 A link is lost only if no band agrees or the estimate falls below its bound. For a
 pair exactly at the threshold the first has a chance of (1 - 0.85^4)^32 = 6e-11, the
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from sieveworks.llm.common import Words, mix64, partitions, prepare, saved, texts_of
 from sieveworks.llm.graph import components
-from sieveworks.llm.ngram_jaccard import node_of, shingles, verified
+from sieveworks.llm.ngram_jaccard import distance, node_of, shingles, sketch_of, verified
 
 #: Linked: 100 * intersection >= SHARE * union.
 SHARE = 85
@@ -99,12 +100,12 @@ def fewest(share: int = SHARE) -> int:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (null for an empty set), and for a set's first row in the task its signature and band keys."""
+    """doc_id, n_shingles, node (null for an empty set), and for a set's first row in the task its signature, band keys and parity sketch."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan, seen = Words(), set()
         for batch in rows:
-            n, node, packed, keys = [], [], [], []
+            n, node, packed, keys, sketch = [], [], [], [], []
             for text in texts_of(batch):
                 s = shingles(text, scan)
                 n.append(len(s))
@@ -112,38 +113,50 @@ def sets(docs: DataFrame) -> DataFrame:
                 if not len(s) or node[-1] in seen:
                     packed.append(None)
                     keys.append(None)
+                    sketch.append(None)
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(node[-1])
                 least = minima(s)
                 packed.append(signature(least).tobytes())
                 keys.append(bands(least).view(np.int64))
+                sketch.append(sketch_of(s))
             ids = pa.array([None if x is None else x - (1 << 64) if x >> 63 else x for x in node], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), ids, pa.array(packed, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "signature", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), ids, pa.array(packed, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "node", "signature", "bands", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, signature binary, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, signature binary, bands array<long>, sketch binary")
 
 
-def likely(pairs: DataFrame, known: DataFrame, least: int) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in ``least`` fields."""
-    side = lambda x: known.select(F.col("node").alias(x), F.col("signature").alias(f"signature_{x}"))
+def apart(n: int, m: int, share: int) -> int:
+    """The most shingles in which linked sets of n and m differ."""
+    return (n + m) * (100 - share) // (100 + share)
+
+
+def likely(pairs: DataFrame, known: DataFrame, share: int) -> DataFrame:
+    """The pairs (a, b) that signatures and sketches do not rule out."""
+    least = fewest(share)
+    side = lambda x: known.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "signature", "sketch")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             x, y = (np.frombuffer(b"".join(t.column(k).to_pylist()), np.uint64).reshape(t.num_rows, -1) for k in ("signature_a", "signature_b"))
-            yield t.select(["a", "b"]).filter(pa.array(agreeing(x, y) >= least))
+            t = t.filter(pa.array(agreeing(x, y) >= least))
+            good = [distance(p, q) <= apart(n, m, share) for n, m, p, q in zip(*(t.column(c).to_pylist() for c in ("n_a", "n_b", "sketch_a", "sketch_b")), strict=True)]
+            yield t.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "signature_a", "signature_b").mapInArrow(run, "a long, b long")
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *(f"{c}_{x}" for c in ("n", "signature", "sketch") for x in "ab"))
+    return rows.mapInArrow(run, "a long, b long")
 
 
-def across(rows: DataFrame, least: int) -> DataFrame:
-    """Likely pairs (a, b) of different roots within a block (key, i, j); rows: key, i, j, part, node, root, signature."""
+def across(rows: DataFrame, share: int) -> DataFrame:
+    """Pairs (a, b) of different roots within a block (key, i, j) that are not ruled out; rows: key, i, j, part, node, root, n, signature, sketch."""
+    least = fewest(share)
 
-    def compare(key: tuple, group: list[tuple]) -> Iterator[tuple[int, int]]:
+    def compare(key: tuple, group: list[tuple], tried: set[tuple[int, int]]) -> Iterator[tuple[int, int]]:
         if len(group) < 2:
             return
-        part, node, root = (np.array([g[k] for g in group], np.int64) for k in range(3))
-        x = np.frombuffer(b"".join(g[3] for g in group), np.uint64).reshape(len(group), -1)
+        part, node, root, size = (np.array([g[k] for g in group], np.int64) for k in range(4))
+        x = np.frombuffer(b"".join(g[4] for g in group), np.uint64).reshape(len(group), -1)
         for begin in range(0, len(group), 64):
             some = slice(begin, begin + 64)
             near = agreeing(x[some, None, :], x[None, :, :]) >= least
@@ -151,10 +164,16 @@ def across(rows: DataFrame, least: int) -> DataFrame:
             if key[1] != key[2]:
                 near &= part[some, None] != part[None, :]
             for a, b in zip(*np.nonzero(near), strict=True):
-                yield int(node[begin + a]), int(node[b])
+                a += begin
+                pair = int(node[a]), int(node[b])
+                if pair not in tried:
+                    tried.add(pair)
+                    if distance(group[a][5], group[b][5]) <= apart(int(size[a]), int(size[b]), share):
+                        yield pair
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[tuple[int, int]] = set()
+        found: list[tuple[int, int]] = []
+        tried: set[tuple[int, int]] = set()
         group: list[tuple] = []
         at: tuple = (0, 0, 0)
 
@@ -166,21 +185,22 @@ def across(rows: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, i, j) != at:
-                    found.update(compare(at, group))
+                    found += compare(at, group, tried)
                     group, at = [], (key, i, j)
-                    if len(found) > 200_000:
+                    if len(tried) > 500_000:
+                        tried.clear()
+                    if len(found) > 20_000:
                         yield out()
                 group.append(tuple(row))
-        found.update(compare(at, group))
+        found += compare(at, group, tried)
         yield out()
 
     dealt = rows.repartition(partitions(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.select("key", "i", "j", "part", "node", "root", "signature").mapInArrow(run, "a long, b long").distinct()
+    return dealt.select("key", "i", "j", "part", "node", "root", "n", "signature", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
 def links(docs: DataFrame, known: DataFrame, share: int = SHARE) -> DataFrame:
-    """Confirmed links (a, b) between sets, enough of them to connect all that links connect. ``known``: node, doc, signature, bands."""
-    least = fewest(share)
+    """Confirmed links (a, b) between sets, enough of them to connect all that links connect. ``known``: node, doc, n, signature, bands, sketch."""
     member = known.select("node", F.explode("bands").alias("key"))
     met = member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     member = saved(member.join(met, "key"), "bands")
@@ -189,14 +209,14 @@ def links(docs: DataFrame, known: DataFrame, share: int = SHARE) -> DataFrame:
     hub = member.join(busy, "node").groupBy("key").agg(F.max(F.struct("shared", "node")).alias("hub"))
     member = saved(member.join(hub.select("key", F.col("hub.node").alias("hub")), "key"), "hubs")
     stars = member.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    first = saved(verified(saved(likely(stars, known, least), "likely"), known, docs, share), "links")
+    first = saved(verified(saved(likely(stars, known, share), "likely"), known, docs, share), "links")
     roots = components(first)
     # what is still apart within a band; a band of two sets has been looked at
-    apart = member.where("size > 2").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("low <> high")
-    blocks = apart.join(mixed.select("key", "parts"), "key").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    loose = member.where("size > 2").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = loose.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("low <> high")
+    blocks = loose.join(mixed.select("key", "parts"), "key").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-    rest = saved(across(blocks.join(known.select("node", "signature"), "node"), least), "likely")
+    rest = saved(across(blocks.join(known.select("node", "n", "signature", "sketch"), "node"), share), "likely")
     return first.unionByName(verified(rest, known, docs, share))
 
 
@@ -206,7 +226,7 @@ def clusters(docs: DataFrame, share: int = SHARE) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = saved(sets(docs), "sets")
     # rows without an id have no say, but may be the ones that carry the signature
-    known = every.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("signature", True).alias("signature"), F.first("bands", True).alias("bands"))
+    known = every.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("n"), F.first("signature", True).alias("signature"), F.first("bands", True).alias("bands"), F.first("sketch", True).alias("sketch"))
     known = saved(known.where("doc IS NOT NULL"), "nodes")
     roots = components(links(docs, known, share))
     least = roots.join(known.select("node", "doc"), "node").groupBy("root").agg(F.min("doc").alias("component"))
