@@ -19,7 +19,6 @@ a language without a kept term has its pairs, all with value 0, and no terms.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,16 +36,15 @@ DOCUMENTS = 10
 RAISED, SCALE = 2, 1_000_000_000
 #: Terms listed for each group.
 RANKS = 10
-#: Leaves of one task's tries, terms of one piece, and cells (terms by sources) that are worked on at once.
-FLUSH, PIECE, CELLS = 120_000, 4096, 1 << 20
+#: Leaves of one task's tries, rows of counters that are added up at once, terms of one piece, and cells (terms by sources) that are worked on at once.
+FLUSH, ADDED, PIECE, CELLS = 200_000, 600_000, 4096, 1 << 20
 #: Bytes that end a term become blanks, A-Z lower case.
 _TERMS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
-#: Occurrences and documents of a leaf in one number: they are added together.
-_DOCS = 1 << 64
+LEAF = "term string, source array<string>, n array<long>, docs array<long>"
 
 
 class Trie:
-    """A radix trie of byte strings; a leaf counts by source. A node: label, children by first byte, counters."""
+    """A radix trie of byte strings with numbered leaves. A node: label, children by first byte, number of its leaf."""
 
     __slots__ = ("root", "leaves")
 
@@ -54,7 +52,8 @@ class Trie:
         self.root: list = [b"", None, None]
         self.leaves = 0
 
-    def add(self, key: bytes, source: str, count: int) -> None:
+    def add(self, key: bytes) -> int:
+        """The number of the key's leaf, which is made if need be."""
         node, at, size = self.root, 0, len(key)
         while at < size:
             children = node[1]
@@ -74,101 +73,133 @@ class Trie:
             node = children[key[at]] = [label[:same], {label[same]: child}, None]
             child[0] = label[same:]
             at += same
-        counters = node[2]
-        if counters is None:
-            counters = node[2] = {}
+        if node[2] is None:
+            node[2] = self.leaves
             self.leaves += 1
-        counters[source] = counters.get(source, 0) + count
+        return node[2]
 
-    def walk(self) -> Iterator[tuple[bytes, dict[str, int]]]:
-        """Leaves in order of their bytes."""
+    def walk(self) -> Iterator[tuple[bytes, int]]:
+        """Keys and their leaves, in order of bytes."""
         todo = [(b"", self.root)]
         while todo:
-            prefix, (label, children, counters) = todo.pop()
+            prefix, (label, children, leaf) = todo.pop()
             key = prefix + label
-            if counters is not None:
-                yield key, counters
+            if leaf is not None:
+                yield key, leaf
             if children:
                 todo += [(key, children[b]) for b in sorted(children, reverse=True)]
 
 
-LEAF = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.list_(pa.string())), ("n", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64()))])
+class Counts:
+    """The trie of one language with counters by leaf and source: rows (leaf, source, n, docs), added up now and then."""
 
-
-def leaf_batch(rows: list[tuple[str, bytes, dict[str, int]]]) -> pa.RecordBatch:
-    values = [v for *_, c in rows for v in c.values()]
-    ends = pa.array(np.cumsum([0, *(len(c) for *_, c in rows)]), pa.int32())
-    lists = [[s for *_, c in rows for s in c], [v % _DOCS for v in values], [v // _DOCS for v in values]]
-    nested = [pa.ListArray.from_arrays(ends, pa.array(x, LEAF.field(k).type.value_type)) for k, x in zip(("source", "n", "docs"), lists, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1].decode() for r in rows], pa.string()), *nested], schema=LEAF)
+    def __init__(self) -> None:
+        self.trie = Trie()
+        self.sources: dict[str, int] = {}
+        self.rows = [np.zeros((4, 0), np.int64)]
+        self.size = 0
+
+    def source(self, name: str) -> int:
+        return self.sources.setdefault(name, len(self.sources))
+
+    def add(self, leaf: np.ndarray, source: np.ndarray, n: np.ndarray, docs: np.ndarray) -> None:
+        self.rows.append(np.stack((leaf, source, n, docs)).astype(np.int64))
+        self.size += len(leaf)
+        if self.size > ADDED + 2 * self.rows[0].shape[1]:
+            self.added_up()
+
+    def added_up(self) -> np.ndarray:
+        x = np.concatenate(self.rows, 1)
+        x = x[:, np.lexsort((x[1], x[0]))]
+        begin = np.flatnonzero(np.concatenate((np.ones(min(1, x.shape[1]), bool), (np.diff(x[0]) != 0) | (np.diff(x[1]) != 0))))
+        if len(begin):
+            x = np.concatenate((x[:2, begin], np.add.reduceat(x[2:], begin, 1)))
+        self.rows, self.size = [x], x.shape[1]
+        return x
+
+    def merge(self, terms: list[bytes], sources: pa.ListArray, n: np.ndarray, docs: np.ndarray) -> None:
+        """Adds leaves of another trie."""
+        lengths = sources.value_lengths().to_numpy(zero_copy_only=False)
+        leaf = np.repeat(np.fromiter(map(self.trie.add, terms), np.int64, len(terms)), lengths)
+        coded = sources.flatten().dictionary_encode()
+        own = np.array([self.source(x) for x in coded.dictionary.to_pylist()], np.int64)
+        self.add(leaf, own[coded.indices.to_numpy(zero_copy_only=False)] if len(own) else leaf, n, docs)
+
+    def leaves(self, least: int = 0) -> Iterator[tuple[list[bytes], pa.ListArray, pa.ListArray, pa.ListArray]]:
+        """Terms in order of bytes, PIECE at a time, with lists of sources, occurrences and documents; only those of ``least`` documents."""
+        x = self.added_up()
+        first = np.searchsorted(x[0], np.arange(self.trie.leaves + 1))
+        enough = np.add.reduceat(x[3], first[:-1]) >= least if self.trie.leaves else np.zeros(0, bool)
+        walked = [(term, leaf) for term, leaf in self.trie.walk() if enough[leaf]]
+        names = pa.array(list(self.sources), pa.string())
+        for begin in range(0, len(walked), PIECE):
+            terms, some = zip(*walked[begin : begin + PIECE], strict=True)
+            some = np.array(some)
+            size = first[some + 1] - first[some]
+            ends = np.concatenate(([0], np.cumsum(size)))
+            at = np.repeat(first[some] - ends[:-1], size) + np.arange(ends[-1])
+            lists = (names.take(pa.array(x[1, at])), pa.array(x[2, at]), pa.array(x[3, at]))
+            yield list(terms), *(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), v) for v in lists)
+
+
+def counted(counts: Counts, texts: list[bytes], sources: list[str]) -> None:
+    """Adds the terms of some documents of one language."""
+    split = [t.translate(_TERMS).split() for t in texts]
+    coded = pa.array([w for s in split for w in s], pa.binary()).dictionary_encode()
+    if not len(coded):
+        return
+    leaf = np.fromiter(map(counts.trie.add, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+    wide = len(leaf)
+    doc = np.repeat(np.arange(len(split)), [len(s) for s in split])
+    # once for each document, then for each source
+    pair, n = np.unique(doc * wide + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    source = np.array([counts.source(s) for s in sources], np.int64)[pair // wide]
+    counts.add(leaf[pair % wide], source, n, np.ones_like(n))
 
 
 def leaves(docs: DataFrame) -> DataFrame:
     """(lang, term, source, n, docs) with one array entry for each source: the leaves of every task's tries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries: dict[str, Trie] = {}
+        tries: dict[str, Counts] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            rows = []
-            for lang, trie in tries.items():
-                for term, counters in trie.walk():
-                    rows.append((lang, term, counters))
-                    if len(rows) == 10_000:
-                        yield leaf_batch(rows)
-                        rows = []
+            for lang, counts in tries.items():
+                for terms, *lists in counts.leaves():
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(terms), pa.string()), pa.array([t.decode() for t in terms], pa.string()), *lists], names=["lang", "term", "source", "n", "docs"])
             tries.clear()
-            yield leaf_batch(rows)
 
         for batch in batches:
-            counted: dict[tuple[str, str], Counter[bytes]] = {}
-            for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts_of(batch), strict=True):
-                terms = text.translate(_TERMS).split()
-                total = counted.setdefault((lang, source), Counter())
-                total.update(terms)
-                for term in set(terms):
-                    total[term] += _DOCS
-            for (lang, source), total in counted.items():
-                trie = tries.setdefault(lang, Trie())
-                for term, n in total.items():
-                    trie.add(term, source, n)
-            if sum(t.leaves for t in tries.values()) > FLUSH:
+            lang, source, text = batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts_of(batch)
+            of: dict[str, list[int]] = {}
+            for row, name in enumerate(lang):
+                of.setdefault(name, []).append(row)
+            for name, rows in of.items():
+                counted(tries.setdefault(name, Counts()), [text[r] for r in rows], [source[r] for r in rows])
+            if sum(c.trie.leaves for c in tries.values()) > FLUSH:
                 yield from out()
         yield from out()
 
-    return docs.mapInArrow(run, "lang string, term string, source array<string>, n array<long>, docs array<long>")
+    return docs.mapInArrow(run, f"lang string, {LEAF}")
 
 
 def kept(leaf: DataFrame) -> DataFrame:
     """(lang, piece, place, term, source, n): the kept terms; ``place`` is their order in a piece of one language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries: dict[str, Trie] = {}
+        tries: dict[str, Counts] = {}
         for batch in batches:
-            source, n, d = (batch.column(k).flatten().to_pylist() for k in ("source", "n", "docs"))
-            ends = np.cumsum(batch.column("source").value_lengths().to_numpy(zero_copy_only=False)).tolist()
-            begin = 0
-            for lang, term, end in zip(batch.column("lang").to_pylist(), texts_of(batch, "term"), ends, strict=True):
-                trie = tries.setdefault(lang, Trie())
-                for k in range(begin, end):
-                    trie.add(term, source[k], n[k] + d[k] * _DOCS)
-                begin = end
+            lang = batch.column("lang").dictionary_encode()
+            for k, name in enumerate(lang.dictionary.to_pylist()):
+                own = batch.filter(pa.array(lang.indices.to_numpy(zero_copy_only=False) == k))
+                n, docs = (own.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("n", "docs"))
+                tries.setdefault(name, Counts()).merge(texts_of(own, "term"), own.column("source"), n, docs)
         piece = TaskContext.get().partitionId() << 32
-        for lang, trie in tries.items():
-            rows: list[tuple] = []
-            for term, counters in trie.walk():
-                if sum(v // _DOCS for v in counters.values()) >= DOCUMENTS:
-                    rows.append((lang, term, counters))
-                if len(rows) == PIECE:
-                    yield piece_batch(rows, piece)
-                    rows, piece = [], piece + 1
-            yield piece_batch(rows, piece)
-            piece += 1
-
-    def piece_batch(rows: list[tuple], piece: int) -> pa.RecordBatch:
-        t = leaf_batch(rows)
-        number = [pa.array(np.full(len(rows), piece), pa.int64()), pa.array(np.arange(len(rows)), pa.int32())]
-        return pa.RecordBatch.from_arrays([t.column("lang"), *number, *(t.column(k) for k in ("term", "source", "n"))], names=["lang", "piece", "place", "term", "source", "n"])
+        for name, counts in tries.items():
+            for terms, source, n, _ in counts.leaves(DOCUMENTS):
+                size = len(terms)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * size, pa.string()), pa.array(np.full(size, piece), pa.int64()), pa.array(np.arange(size), pa.int32()), pa.array([t.decode() for t in terms], pa.string()), source, n], names=["lang", "piece", "place", "term", "source", "n"])
+                piece += 1
 
     dealt = leaf.repartitionByRange(partitions(leaf.sparkSession), "lang", "term")
     return dealt.mapInArrow(run, "lang string, piece long, place int, term string, source array<string>, n array<long>")
