@@ -37,7 +37,7 @@ RAISED, SCALE = 2, 1_000_000_000
 #: Terms listed for each group.
 RANKS = 10
 #: Leaves of one task's tries, rows of counters that are added up at once, terms of one piece, and cells (terms by sources) that are worked on at once.
-FLUSH, ADDED, PIECE, CELLS = 200_000, 600_000, 4096, 1 << 20
+FLUSH, ADDED, PIECE, CELLS = 450_000, 600_000, 4096, 1 << 20
 #: Bytes that end a term become blanks, A-Z lower case.
 _TERMS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 LEAF = "term string, source array<string>, n array<long>, docs array<long>"
@@ -95,10 +95,21 @@ class Counts:
 
     def __init__(self) -> None:
         self.trie = Trie()
+        self.known: dict[bytes, int] = {}
         self.sources: dict[str, int] = {}
         self.rows = [np.zeros((4, 0), np.int64)]
         self.size = 0
 
+    def leaf(self, terms: list[bytes]) -> np.ndarray:
+        """The terms' leaves; the way down the trie is taken once for each."""
+        known, out = self.known, []
+        for term in terms:
+            leaf = known.get(term)
+            if leaf is None:
+                leaf = known[term] = self.trie.add(term)
+            out.append(leaf)
+        return np.array(out, np.int64)
+
     def source(self, name: str) -> int:
         return self.sources.setdefault(name, len(self.sources))
 
@@ -120,7 +131,7 @@ class Counts:
     def merge(self, terms: list[bytes], sources: pa.ListArray, n: np.ndarray, docs: np.ndarray) -> None:
         """Adds leaves of another trie."""
         lengths = sources.value_lengths().to_numpy(zero_copy_only=False)
-        leaf = np.repeat(np.fromiter(map(self.trie.add, terms), np.int64, len(terms)), lengths)
+        leaf = np.repeat(self.leaf(terms), lengths)
         coded = sources.flatten().dictionary_encode()
         own = np.array([self.source(x) for x in coded.dictionary.to_pylist()], np.int64)
         self.add(leaf, own[coded.indices.to_numpy(zero_copy_only=False)] if len(own) else leaf, n, docs)
@@ -148,7 +159,7 @@ def counted(counts: Counts, texts: list[bytes], sources: list[str]) -> None:
     coded = pa.array([w for s in split for w in s], pa.binary()).dictionary_encode()
     if not len(coded):
         return
-    leaf = np.fromiter(map(counts.trie.add, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+    leaf = counts.leaf(coded.dictionary.to_pylist())
     wide = len(leaf)
     doc = np.repeat(np.arange(len(split)), [len(s) for s in split])
     # once for each document, then for each source
