@@ -311,8 +311,11 @@ def slices_of(texts: list[str], size: int = SLICE) -> Iterator[list[tuple[int, s
 CODED = "doc_id long, n_tokens long, ids binary, decoded binary, ids_sha256 string, decoded_sha256 string"
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, with_bytes: bool = False) -> DataFrame:
-    """One row per row of ``docs``: ids and decoded bytes (if asked for), their digests, and the count of ids."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, with_bytes: bool = False, size: int = SLICE) -> DataFrame:
+    """One row per row of ``docs``: ids and decoded bytes (if asked for), their digests, and the count of ids.
+
+    ``size``: characters that are encoded at once; fewer take less memory and more time.
+    """
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(load_ranks(ranks_path))
@@ -337,7 +340,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, with_bytes: bool = Fa
                 for k, v in zip(schema.names, values, strict=True):
                     out[k].append(v)
 
-            for held in slices_of([x.decode() for x in texts_of(batch)]):
+            for held in slices_of([x.decode() for x in texts_of(batch)], size):
                 # a piece that could not be cut is encoded word by word, so that no long chunk is kept
                 cut = [known.find(c[0]) if len(c) == 1 and RUN.search(c[0]) else c for c in (chunks_of(piece) for _, piece in held)]
                 known.learn(set().union(*cut))
@@ -353,6 +356,6 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, with_bytes: bool = Fa
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, CODED)
 
 
-def report(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def report(docs: DataFrame, ranks_path: str, pattern: str, size: int = SLICE) -> DataFrame:
     """The contract's columns, one row per document."""
-    return encode(docs, ranks_path, pattern).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return encode(docs, ranks_path, pattern, size=size).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
