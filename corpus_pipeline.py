@@ -39,7 +39,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, as counts and digests, with the digest of what they decode to."""
     import public_tokenizers as vocabularies
 
-    return byte_bpe.report(docs, vocabularies.path("byte_bpe_multi_50k.tiktoken"), vocabularies.PATTERN)
+    # the executors' workers still hold what earlier stages took, so texts are encoded in small slices
+    return byte_bpe.report(docs, vocabularies.path("byte_bpe_multi_50k.tiktoken"), vocabularies.PATTERN, size=1 << 18)
 
 
 STAGES = [
