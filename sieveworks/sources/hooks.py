@@ -12,7 +12,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveworks.session import saved
 from sieveworks.sources.tokens import Source, enclosing
 
 #: Hooks that hold state, and hooks that run effects.
@@ -31,7 +30,7 @@ class Hooks:
     def components(self) -> DataFrame:
         """(path, component, c_open, c_close, params): ``component`` is the name and the place of its brace."""
         named = self.source.scopes.where(F.col("kind").isin("function", "arrow") & F.col("name").rlike("^[A-Z]"))
-        return saved(named.select("path", F.concat_ws("@", "name", "open").alias("component"), "name", F.col("open").alias("c_open"), F.col("close").alias("c_close"), "params", "line"), "components")
+        return self.source.saved(named.select("path", F.concat_ws("@", "name", "open").alias("component"), "name", F.col("open").alias("c_open"), F.col("close").alias("c_close"), "params", "line"), "components")
 
     def owned(self, places: DataFrame) -> DataFrame:
         """``places`` (path, idx, ...) in a component, with the innermost one."""
@@ -51,29 +50,31 @@ class Hooks:
         calls = rows.where(F.col("text").isin(*STATE) & (plain | spaced)).select("path", "idx", F.when(plain, F.col("b2_idx")).otherwise(F.col("b4_idx")).alias("close"))
         arrays = self.source.pairs.where("shape = '['").select("path", "open", "close").join(calls, ["path", "close"])
         parts = self.source.arguments(arrays).where("single = 'name'").groupBy("path", "open").agg(F.max(F.when(F.col("arg") == 0, F.col("text"))).alias("state"), F.max(F.when(F.col("arg") == 1, F.col("text"))).alias("setter"))
-        return saved(self.owned(arrays.select("path", "idx", "open")).join(parts, ["path", "open"]).where("state IS NOT NULL").select("path", "component", F.trim("state").alias("state"), F.trim("setter").alias("setter")), "states")
+        return self.source.saved(self.owned(arrays.select("path", "idx", "open")).join(parts, ["path", "open"]).where("state IS NOT NULL").select("path", "component", F.trim("state").alias("state"), F.trim("setter").alias("setter")), "states")
 
     @cached_property
     def effects(self) -> DataFrame:
         """(path, component, effect, e_open, e_close, line): calls of effect hooks; ``effect`` is the place of the parentheses."""
         calls = self.source.rows.where((F.col("text") == "(") & F.col("p1").isin(*EFFECTS)).select("path", "idx", "line")
         ends = self.source.pairs.select("path", F.col("open").alias("idx"), "close")
-        return saved(self.owned(calls.join(ends, ["path", "idx"])).select("path", "component", F.col("idx").alias("effect"), F.col("idx").alias("e_open"), F.col("close").alias("e_close"), "line"), "effects")
+        return self.source.saved(self.owned(calls.join(ends, ["path", "idx"])).select("path", "component", F.col("idx").alias("effect"), F.col("idx").alias("e_open"), F.col("close").alias("e_close"), "line"), "effects")
 
     def sets(self) -> DataFrame:
         """(path, component, effect, state): states whose setter an effect calls."""
         setters = self.states.where("setter IS NOT NULL").select("path", "component", F.col("setter").alias("text"), "state")
         calls = self.source.rows.where("kind = 'name' AND n1 = '(' AND coalesce(p1, '') NOT IN ('.', '?.', 'function')").select("path", "idx", "text")
+        # only names that are a setter somewhere in the file are placed in components
+        calls = calls.join(setters.select("path", "text").distinct(), ["path", "text"], "left_semi")
         calls = self.owned(calls).join(setters, ["path", "component", "text"]).select("path", "idx", "component", "state")
         around = self.effects.select("path", F.col("component").alias("of"), "effect", F.col("e_open").alias("open"), F.col("e_close").alias("close"))
-        return enclosing(calls, around).where("component = of").select("path", "component", "effect", "state").distinct()
+        return self.source.saved(enclosing(calls, around).where("component = of").select("path", "component", "effect", "state").distinct(), "sets")
 
     def deps(self) -> DataFrame:
         """(path, component, effect, state): states in an effect's list of dependencies."""
         args = self.source.arguments(self.effects.select("path", F.col("e_open").alias("open"))).where("arg = 1 AND startswith(text, '[')")
         lists = args.select("path", F.col("open").alias("effect"), F.col("head").alias("open"))
         named = self.source.arguments(lists).where("single = 'name'").join(lists, ["path", "open"]).select("path", "effect", F.trim("text").alias("state"))
-        return named.join(self.effects.select("path", "component", "effect"), ["path", "effect"]).join(self.states.select("path", "component", "state"), ["path", "component", "state"]).distinct()
+        return self.source.saved(named.join(self.effects.select("path", "component", "effect"), ["path", "effect"]).join(self.states.select("path", "component", "state"), ["path", "component", "state"]).distinct(), "deps")
 
     @cached_property
     def props(self) -> DataFrame:
@@ -83,7 +84,7 @@ class Hooks:
         spec = rf"^({_NAME})(?:\s*:\s*({_NAME}))?(?:\s*=.*)?$"
         listed = self.source.arguments(first).join(first, ["path", "open"]).where(F.trim("text").rlike(f"(?s){spec}"))
         part = lambda i: F.regexp_extract(F.trim("text"), f"(?s){spec}", i)
-        return saved(listed.select("path", "component", F.coalesce(F.nullif(part(2), F.lit("")), part(1)).alias("prop")).distinct(), "props")
+        return self.source.saved(listed.select("path", "component", F.coalesce(F.nullif(part(2), F.lit("")), part(1)).alias("prop")).distinct(), "props")
 
     def tagged(self) -> DataFrame:
         """Siblings with ``tag``, the element whose attributes they stand among, null elsewhere."""
@@ -97,7 +98,7 @@ class Hooks:
         braces = self.tagged().where("text = '{' AND p1 = '=' AND tag rlike '^[A-Z]'").select("path", F.col("idx").alias("open"), F.col("tag").alias("child"), "as")
         inside = self.source.rows.groupBy("path", F.col("parent").alias("open")).agg(F.count("*").alias("n"), F.min("idx").alias("idx"), F.min("text").alias("prop"), F.min("kind").alias("kind")).where("n = 1 AND kind = 'name'")
         given = self.owned(braces.join(inside, ["path", "open"]).select("path", "idx", "child", "as", "prop"))
-        return saved(given.join(self.props, ["path", "component", "prop"]), "handed")
+        return self.source.saved(given.join(self.props, ["path", "component", "prop"]), "handed")
 
     def used(self) -> DataFrame:
         """(path, component, prop): props that a component reads other than by handing them on."""
