@@ -1,4 +1,5 @@
 from sieveworks.operators import thresholds as t
+from sieveworks.plans import queries
 
 ENTITY = "file string, name string, type string, line_count int, inputs int, deps int, start_line int"
 CLASS = t.ComplexityRule("god-class", "class", 200, 10, 8)
@@ -44,3 +45,13 @@ def test_risky_files_within_scope(spark):
     log = spark.createDataFrame([(str(i), m, f) for i, (m, f) in enumerate([("Fix a", ["x", "y"]), ("bugs", ["x"]), ("CVE-1", ["x", "y"]), ("docs", ["y"]), ("security", ["y", "z"])])], "sha string, message string, files array<string>")
     assert sorted(map(tuple, t.risky_files(log).collect())) == [("x", 3), ("y", 3)]
     assert [tuple(r) for r in t.risky_files(log, spark.createDataFrame([("y",)], "file string")).collect()] == [("y", 3)]
+
+
+def test_words_of_documents_are_counted_where_their_file_is(spark, tmp_path):
+    """One shuffle by file, before the words are taken apart; none by word."""
+    text = "same same same same 77 77 77 once"
+    spark.createDataFrame([(1, text, "en", "src"), (2, text, "en", "src"), (2, text, "en", "src"), (3, None, "en", "src")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.duplication_topk(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert sorted((r["file"], r["value"], r["count"]) for r in found.collect()) == [("src/1.en", "77", 3), ("src/1.en", "same", 4), ("src/2.en", "77", 6), ("src/2.en", "same", 8)]
