@@ -1,3 +1,5 @@
+import random
+
 from sieveworks.operators import thresholds as t
 from sieveworks.plans import queries
 
@@ -55,3 +57,23 @@ def test_words_of_documents_are_counted_where_their_file_is(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert sorted((r["file"], r["value"], r["count"]) for r in found.collect()) == [("src/1.en", "77", 3), ("src/1.en", "same", 4), ("src/2.en", "77", 6), ("src/2.en", "same", 8)]
+
+
+def test_repeated_words_are_the_same_within_a_row_and_by_shuffle(spark, tmp_path, monkeypatch):
+    r = random.Random(7)
+    texts = [" ".join(r.choice(("same", "words", "77", "1234", "of", "")) for _ in range(r.randint(0, 60))) for _ in range(30)] + ["7\n 7\n 7\n", None, "ab\u00e9\u00e9 " * 5]
+    spark.createDataFrame([(i, t, "en", "src") for i, t in enumerate(texts)] + [(3, texts[3], "en", "src")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted(map(tuple, queries.duplication_topk(spark, str(tmp_path)).collect()))
+    assert queries.in_rows(queries.doc_files(spark, str(tmp_path))).where("NOT whole").select("path").distinct().collect() == [("src/3.en",)]
+    monkeypatch.setattr(queries, "LONG_TEXT", -1)
+    assert len(found) > 50 and found == sorted(map(tuple, queries.duplication_topk(spark, str(tmp_path)).collect()))
+    # digits and a line break are neither a number nor four characters
+    assert not [x for x in found if x[0] == "src/30.en"] and ("src/32.en", "string", "ab\u00e9\u00e9", 5, 1) in found
+
+
+def test_orders_are_shuffled_once_for_sums_and_distinct_suppliers(spark, tmp_path):
+    lines = [(1, 150.0, 5), (1, 50.0, None), (1, 1.0, None), (3, 10.0, 1), *((6, 1.0, s) for s in (9, 8, 9, 7, 6, 5, 4, 3)), (9, 150.0, 2)]
+    spark.createDataFrame(lines, "l_orderkey long, l_quantity double, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    entities = queries.order_entities(spark, str(tmp_path))
+    assert entities._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted((r["file"], r["line_count"], r["inputs"], r["deps"]) for r in entities.collect()) == [("1", 201, 3, 1), ("3", 10, 1, 1), ("6", 8, 8, 7), ("9", 150, 1, 1)]
