@@ -77,3 +77,26 @@ def test_orders_are_shuffled_once_for_sums_and_distinct_suppliers(spark, tmp_pat
     entities = queries.order_entities(spark, str(tmp_path))
     assert entities._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert sorted((r["file"], r["line_count"], r["inputs"], r["deps"]) for r in entities.collect()) == [("1", 201, 3, 1), ("3", 10, 1, 1), ("6", 8, 8, 7), ("9", 150, 1, 1)]
+
+
+def test_words_of_a_row_are_sorted_once(spark, tmp_path):
+    """The optimizer must not copy the work into a filter, and sorts plain strings."""
+    spark.createDataFrame([(1, "same same same same", "en", "src")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = queries.duplication_topk(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array(") == 1 and plan.count("transform(split(") == 0
+
+
+def test_first_five_repeated_words_of_odd_texts(spark, tmp_path):
+    r = random.Random(11)
+    words = ["abcd", "éé", "éééé", "\U0001f600" * 4, "12", "999", "1000", "9", "9a", "12b", "12\n", "\t", "", "of", "0", ":", "/", "word\n", "same", "١٢٣", "zzzz", "Abcd"]
+    texts = [" ".join(r.choice(words[: r.randint(1, len(words))]) for _ in range(r.randint(0, 90))) for _ in range(60)] + ["", " ", "    ", None, "9 9 9", "1 1 aaaa aaaa aaaa", " 7 7 7 "]
+    spark.createDataFrame([(i, t, "en", "src") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, text in enumerate(texts):
+        lines = {}
+        for line, word in enumerate((text or "").split(" "), 1):
+            lines.setdefault(word, []).append(line)
+        number = lambda w: w != "" and all("0" <= c <= "9" for c in w)
+        often = [(x[0], w, len(x)) for w, x in lines.items() if (number(w) and len(x) >= 3) or (not number(w) and len(w) >= 4 and len(x) >= 4)]
+        want += [(f"src/{i}.en", "number" if number(w) else "string", w, n, line) for line, w, n in sorted(often)[:5]]
+    assert len(want) > 100 and sorted(map(tuple, queries.duplication_topk(spark, str(tmp_path)).collect())) == sorted(want)
