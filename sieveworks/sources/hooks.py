@@ -12,10 +12,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveworks.sources.tokens import Source, enclosing
+from sieveworks.sources.tokens import STATE, Source, enclosing
 
-#: Hooks that hold state, and hooks that run effects.
-STATE = ("useState", "useReducer")
+#: Hooks that run effects.
 EFFECTS = ("useEffect", "useLayoutEffect", "useInsertionEffect")
 _NAME = r"[A-Za-z_$][\w$]*"
 
@@ -41,28 +40,24 @@ class Hooks:
     @cached_property
     def states(self) -> DataFrame:
         """(path, component, state, setter) of ``const [state, setter] = useState(...)``, with a namespace or type argument or without."""
-        beside = Window.partitionBy("path", "parent").orderBy("idx")
-        rows = self.source.rows
-        lag = lambda n, c="text": F.lag(c, n).over(beside)
-        rows = rows.withColumns({"b2": lag(2), "b3": lag(3), "b2_idx": lag(2, "idx"), "b4": lag(4), "b4_idx": lag(4, "idx")})
-        plain = (F.col("p1") == "=") & (F.col("b2") == "]")
-        spaced = (F.col("p1") == ".") & (F.col("b3") == "=") & (F.col("b4") == "]")
-        calls = rows.where(F.col("text").isin(*STATE) & (plain | spaced)).select("path", "idx", F.when(plain, F.col("b2_idx")).otherwise(F.col("b4_idx")).alias("close"))
-        arrays = self.source.pairs.where("shape = '['").select("path", "open", "close").join(calls, ["path", "close"])
+        plain = (F.col("p1") == "=") & (F.col("p2") == "]")
+        spaced = (F.col("p1") == ".") & (F.col("p3") == "=") & (F.col("p4") == "]")
+        near = self.source.fact("marks")
+        calls = near.where(F.col("text").isin(*STATE) & (plain | spaced)).select("path", "idx", F.when(plain, F.col("p2_idx")).otherwise(F.col("p4_idx")).alias("close"))
+        arrays = near.where("text = '[' AND close IS NOT NULL").select("path", F.col("idx").alias("open"), "close").join(calls, ["path", "close"])
         parts = self.source.arguments(arrays).where("single = 'name'").groupBy("path", "open").agg(F.max(F.when(F.col("arg") == 0, F.col("text"))).alias("state"), F.max(F.when(F.col("arg") == 1, F.col("text"))).alias("setter"))
         return self.source.saved(self.owned(arrays.select("path", "idx", "open")).join(parts, ["path", "open"]).where("state IS NOT NULL").select("path", "component", F.trim("state").alias("state"), F.trim("setter").alias("setter")), "states")
 
     @cached_property
     def effects(self) -> DataFrame:
         """(path, component, effect, e_open, e_close, line): calls of effect hooks; ``effect`` is the place of the parentheses."""
-        calls = self.source.rows.where((F.col("text") == "(") & F.col("p1").isin(*EFFECTS)).select("path", "idx", "line")
-        ends = self.source.pairs.select("path", F.col("open").alias("idx"), "close")
-        return self.source.saved(self.owned(calls.join(ends, ["path", "idx"])).select("path", "component", F.col("idx").alias("effect"), F.col("idx").alias("e_open"), F.col("close").alias("e_close"), "line"), "effects")
+        calls = self.source.fact("marks").where((F.col("text") == "(") & F.col("p1").isin(*EFFECTS) & F.col("close").isNotNull()).select("path", "idx", "line", "close")
+        return self.source.saved(self.owned(calls).select("path", "component", F.col("idx").alias("effect"), F.col("idx").alias("e_open"), F.col("close").alias("e_close"), "line"), "effects")
 
     def sets(self) -> DataFrame:
         """(path, component, effect, state): states whose setter an effect calls."""
         setters = self.states.where("setter IS NOT NULL").select("path", "component", F.col("setter").alias("text"), "state")
-        calls = self.source.rows.where("kind = 'name' AND n1 = '(' AND coalesce(p1, '') NOT IN ('.', '?.', 'function')").select("path", "idx", "text")
+        calls = self.source.fact("marks").where("text = '(' AND p1_kind = 'name' AND coalesce(p2, '') NOT IN ('.', '?.', 'function')").select("path", F.col("p1_idx").alias("idx"), F.col("p1").alias("text"))
         # only names that are a setter somewhere in the file are placed in components
         calls = calls.join(setters.select("path", "text").distinct(), ["path", "text"], "left_semi")
         calls = self.owned(calls).join(setters, ["path", "component", "text"]).select("path", "idx", "component", "state")
